@@ -84,10 +84,11 @@ class NameGuard:
     def joins(self, before: str, after: str) -> bool:
         """Whether the cut between these two pieces falls inside a name; one slip in each half at most for short, two for long ones."""
         a, b = _words(before), _words(after)
+        b = b[1:] if after[:5].lower() == " and " else b
         for left, right in self.halves:
             x, y = "".join(a[-len(left) :]), "".join(b[: len(right)])
             p, q = "".join(left), "".join(right)
-            if edit_distance(x, p, k := min(2, len(p) // 4)) <= k and edit_distance(y, q, k := min(2, len(q) // 2)) <= k:
+            if edit_distance(x, p, k := min(2, len(p) // 3)) <= k and edit_distance(y, q, k := min(2, len(q) // 2)) <= k:
                 return True
         return False
 
@@ -104,9 +105,10 @@ def _prepare(values: pa.Array) -> pa.Array:
         if pc.any(coded).as_py():
             inner = pa.array([_plain_list(t.as_py()) if c else i.as_py() for t, i, c in zip(text, inner, coded.to_pylist())], pa.string())
         text = pc.if_else(listed, inner, text)
-    numbered = pc.match_substring_regex(text, r"^\s*\(?1[.)]\s")
-    if pc.any(numbered).as_py():
-        text = pc.if_else(numbered, pc.replace_substring_regex(text, r"(^|[\s;,])\(?\d{1,2}[.)]\s+", "\\1\n"), text)
+    for closing in (r"\)", r"\."):
+        numbered = pc.match_substring_regex(text, rf"^\s*\(?1{closing}\s")
+        if pc.any(numbered).as_py():
+            text = pc.if_else(numbered, pc.replace_substring_regex(text, rf"(^|[\s;,])\(?\d{{1,2}}{closing}\s+", "\\1\n"), text)
     marked = pc.match_substring_regex(text, r"^\s*\x04")
     text = pc.if_else(marked, pc.replace_substring(text, "\x04", "\n"), text)
     dashed = pc.match_substring_regex(text, r"^\s*[-*–]\s")
@@ -223,7 +225,7 @@ def _unquote(child: pa.Array) -> pa.Array:
 
 
 def split_packed(df: DataFrame, key: str, fields: Sequence[str] = PACKED_FIELDS, names: Sequence[str] = ()) -> DataFrame:
-    """(key, field_name, item_no, item_text): one row per value of each field, its place counted from 1.
+    """(key, field_name, item_no, n_items, item_text): one row per value of each field, its place counted from 1.
 
     names: values that may contain a separator and stay whole; at most a few thousand, they travel in the task.
     Rows with the same key and content count once.
@@ -238,10 +240,11 @@ def split_packed(df: DataFrame, key: str, fields: Sequence[str] = PACKED_FIELDS,
                 parent = pc.list_parent_indices(lists)
                 at = np.asarray(parent)
                 place = np.arange(len(at)) - np.asarray(lists.offsets)[:-1][at] + 1 if len(at) else np.zeros(0)
+                of = np.diff(np.asarray(lists.offsets))[at] if len(at) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(parent), pa.array([field] * len(at), pa.string()), pa.array(place.astype(np.int32)), lists.flatten()],
-                    names=[key, "field_name", "item_no", "item_text"],
+                    [batch.column(0).take(parent), pa.array([field] * len(at), pa.string()), pa.array(place.astype(np.int32)), pa.array(of.astype(np.int32)), lists.flatten()],
+                    names=[key, "field_name", "item_no", "n_items", "item_text"],
                 )
 
     rows = df.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).distinct()
-    return rows.mapInArrow(scan, f"`{key}` {key_type}, field_name string, item_no int, item_text string")
+    return rows.mapInArrow(scan, f"`{key}` {key_type}, field_name string, item_no int, n_items int, item_text string")

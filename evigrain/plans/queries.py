@@ -19,8 +19,7 @@ def p5_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of the fields that hold two or more."""
-    values = p5_values(spark, folder)
-    return values.withColumn("n", F.count("*").over(Window.partitionBy("row_id", "field_name"))).where("n >= 2").drop("n").distinct()
+    return p5_values(spark, folder).where("n_items >= 2").drop("n_items").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_values": p5_values, "p5_found": p5_found}
