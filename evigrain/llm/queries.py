@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrain.llm.boilerplate import repeated_lines, without_lines
 from evigrain.llm.mapping import map_fields
+from evigrain.llm.pieces import oversized_pieces, split_oversized
 from evigrain.plans.tables import table
 
 
@@ -17,5 +19,33 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapped.select("row_id", "field_name", "item_no", "term_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage within the limit, oversized ones in overlapping pieces."""
+    return split_oversized(table(spark, folder, "passage"), "passage_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of both tables that had to be cut."""
+    parts = [oversized_pieces(table(spark, folder, t), k).where("piece_no = 2").select(F.lit(t).alias("table_name"), F.col(k).alias("record_id")) for t, k in (("page_document", "page_id"), ("passage", "passage_id"))]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line repeated excessively within its source file."""
+    return repeated_lines(table(spark, folder, "passage")).select("passage_id", "line_no").distinct()
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Each passage without those lines."""
+    passages = table(spark, folder, "passage")
+    return without_lines(passages, repeated_lines(passages)).select("passage_id", "source_file", "text", "lines_removed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
+}
 ORACLE: dict[str, str] = {}
