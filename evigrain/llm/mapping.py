@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigrain.operators.packed import edit_distance, split_packed
 
@@ -178,7 +179,7 @@ def map_values(values: DataFrame, terms: Sequence[tuple[str, int, str]], cut_fie
     lists: dict[str, list[tuple[int, str]]] = {}
     for field, term_id, name in terms:
         lists.setdefault(field, []).append((term_id, name))
-    schema = values.schema.add("term_id", "int")
+    schema = T.StructType([*values.schema.fields, T.StructField("term_id", T.IntegerType())])
     position = {f: i for i, f in enumerate(values.columns)}
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

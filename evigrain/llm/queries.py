@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evigrain.llm.boilerplate import repeated_lines, without_lines
 from evigrain.llm.mapping import map_fields
 from evigrain.llm.pieces import oversized_pieces, split_oversized
+from evigrain.llm.sentences import learn, split_sentences
 from evigrain.plans.tables import table
 
 
@@ -30,6 +31,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p4_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage as its sentences."""
+    passages = table(spark, folder, "passage")
+    return split_sentences(passages, learn(passages.select("text"))).dropDuplicates(["passage_id", "sentence_no"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence ends of the passages without a line break, under a model learnt from all passages."""
+    passages = table(spark, folder, "passage")
+    plain = passages.where(~F.contains("text", F.lit("\n")) & (F.btrim("text") != ""))
+    return split_sentences(plain, learn(passages.select("text"))).select("passage_id", "sentence_no", "end_char").distinct()
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every line repeated excessively within its source file."""
     return repeated_lines(table(spark, folder, "passage")).select("passage_id", "line_no").distinct()
@@ -45,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_sentences": p4_sentences,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
 }
