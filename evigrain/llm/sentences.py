@@ -246,7 +246,7 @@ class Splitter:
                         continue
                     if end == close and text[begin] in "([（【":
                         continue
-            if self._ends(text, at, end, m.group(), abbreviations, starters, collocations):
+            if self._ends(text, start, at, end, m.group(), abbreviations, starters, collocations):
                 stop = end
                 while m.group()[-1] in "\"“" and stop > at and text[stop - 1] in "\"“" and text[start:stop].count(text[stop - 1]) % 2 and text[stop - 1] == '"':
                     stop -= 1  # an opening quotation mark belongs to the next sentence
@@ -274,7 +274,7 @@ class Splitter:
         first = rest[0].lstrip(OPENERS + "¿¡")
         return first[:1].isupper() or (first[:1].isdigit()) or word_type(rest[0]).rstrip(".") in starters and not first[:1].islower()
 
-    def _ends(self, text: str, at: int, end: int, mark: str, abbreviations: dict[str, float], starters: set[str], collocations: set[tuple[str, str]]) -> bool:
+    def _ends(self, text: str, start: int, at: int, end: int, mark: str, abbreviations: dict[str, float], starters: set[str], collocations: set[tuple[str, str]]) -> bool:
         size = len(text)
         kind = mark[0]
         if kind == ";":
@@ -313,14 +313,16 @@ class Splitter:
             return not first.islower() or any(c.isupper() for c in bare)
         if not first and follower[0] in "–—-":
             return False
-        token = text[text.rfind(" ", 0, at) + 1 : at + 1] if " " in text[max(0, at - 60) : at] else text[max(0, at - 60) : at + 1]
-        token = token.split()[-1] if token.split() else token
+        parts = text[max(start, at - 60) : at + 1].split()
+        token = parts[-1] if parts else "."
         word = word_type(token).rstrip(".")
         following = word_type(follower).rstrip(".")
         if word == NUMBER:
             if (NUMBER, following) in collocations and following not in starters:
                 return False
             return True
+        if following == NUMBER and token[0].isupper() and word not in abbreviations and (word, NUMBER) in self.any_collocation and word in self.any_abbreviation:
+            return False  # a sentence of another language than most of its text
         if word in abbreviations or self._tail(word) in abbreviations and word not in abbreviations:
             ends = abbreviations.get(word, abbreviations.get(self._tail(word), 0.0))
             if following == NUMBER:
