@@ -24,69 +24,91 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MASK = 8, np.uint64(15)  # bytes the rolling hash sees; one cut in sixteen positions on average
-_GEAR = np.array([xxhash.xxh64_intdigest(bytes([i]), seed=7) for i in range(256)], np.uint64)
-
-
-def normalised(texts: pa.Array) -> pa.Array:
-    """Lower case, no blanks but line breaks, numbers as one sign."""
+WINDOW, MASK = 4, np.uint32(15)  # bytes the rolling hash sees; one cut in sixteen positions on average
+MOST_CHUNKS = 1_000_000  # excessive chunks that may travel in a task; beyond, they are joined by source
+_GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), seed=7) for i in range(256)], np.uint32)
+_GEAR64 = np.array([xxhash.xxh64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
+_WIDE_BLANK = "[\\x{a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+"
+_WIDE_DIGIT = "[\\x{660}-\\x{669}\\x{6f0}-\\x{6f9}\\x{966}-\\x{96f}\\x{e50}-\\x{e59}\\x{ff10}-\\x{ff19}]"
+_BLANK = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 32])
+_DIGIT = np.isin(np.arange(256), range(48, 58))
+
+
+def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): lower case, no blanks but line breaks, each number as one sign."""
     text = pc.utf8_lower(pc.fill_null(texts, ""))
-    text = pc.replace_substring_regex(text, r"[^\S\n]+|[\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+", "")
-    return pc.replace_substring_regex(text, r"\p{Nd}+", "0")
-
-
-def chunk_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, line number, chunk hash, whether the line has a letter) of every chunk, in order."""
-    text = normalised(texts)
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    for pattern, sign in ((_WIDE_BLANK, ""), (_WIDE_DIGIT, "0")):
+        if pc.any(pc.match_substring_regex(text, pattern)).as_py():
+            text = pc.replace_substring_regex(text, pattern, sign)
     offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    digit = _DIGIT[data]
+    solid = ~_BLANK[data]
+    # Blanks go first, so that a number is a run of digits with no blank seen between; digits parted by a blank stay two numbers.
+    again = np.zeros(len(data), bool)
+    again[1:] = digit[1:] & digit[:-1]
+    again[np.minimum(offsets[:-1], max(len(data) - 1, 0))] = False
+    keep = solid & ~again
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    out = np.where(digit, np.uint8(48), data)[keep]
+    return out, kept[offsets]
+
+
+def chunk_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, line number, chunk hash, whether the line may have a letter) of every chunk, in order."""
+    data, offsets = normalised(texts)
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    newline = data == 10
     start = np.zeros(n + 1, bool)
     start[offsets[:-1]] = True
-    start[np.flatnonzero(data == 10) + 1] = True
+    start[1:] |= newline
     start = start[:n]
-    line = np.cumsum(start) - 1
+    # The rolling hash sees the last bytes of a position; at a line break it sees a cut, wherever it stands.
+    gear = _GEAR[data]
+    gear[newline] = 0
+    rolled = gear.copy()
+    for k in range(1, WINDOW):
+        rolled[k:] += gear[:-k] << np.uint32(3 * k)
+    cut = ((rolled >> np.uint32(9)) & MASK) == 0
     begin = np.flatnonzero(start)
-    reach = np.arange(n) - begin[line]
-    # The rolling hash restarts at each line, so that its value depends on the line alone.
-    gear, rolled = _GEAR[data], np.zeros(n, np.uint64)
-    for k in range(WINDOW):
-        shifted = np.zeros(n, np.uint64)
-        shifted[k:] = gear[: n - k] << np.uint64(k)
-        rolled += np.where(reach >= k, shifted, np.uint64(0))
-    cut = ((rolled >> np.uint64(17)) & MASK) == 0
-    first = start | np.concatenate([[False], cut[:-1]])
-    first |= data == 10  # the line break itself is a piece that no chunk contains
+    # Within the first bytes of a line the window still holds the line before; no cut there, so that equal lines have equal chunks.
+    for k in range(WINDOW - 1):
+        early = begin + k
+        cut[early[early < n]] = False
+    first = start | newline
+    first[1:] |= cut[:-1]
     piece = np.flatnonzero(first)
-    # Chunk hash: a sum over its bytes of gear value times a power for the place in the chunk.
-    inside = np.arange(n) - piece[np.cumsum(first) - 1]
-    power = np.full(int(inside.max()) + 1, np.uint64(0x9E3779B97F4A7C15 | 1))
+    size = np.diff(np.append(piece, n))
+    inside = np.arange(n) - np.repeat(piece, size)
+    power = np.full(int(size.max()), np.uint64(0x9E3779B97F4A7C15))
     power[0] = 1
     power = np.multiply.accumulate(power)
-    digest = np.add.reduceat(gear * power[inside], piece)
-    solid = data[piece] != 10
-    # The number of a line within its document: breaks seen since the document began.
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    digest = np.add.reduceat(_GEAR64[data] * power[inside], piece)
+    solid = ~newline[piece]
+    breaks = np.cumsum(newline)
     owner = np.searchsorted(offsets[1:], piece, side="right")
-    number = breaks[piece] - breaks[offsets[owner]] + 1
-    letter = _has_letter(data)
-    lettered = np.maximum.reduceat(letter, begin)[line[piece]] > 0
+    base = np.where(offsets[:-1] > 0, breaks[np.maximum(offsets[:-1] - 1, 0)], 0)
+    number = breaks[piece] - base[owner] + 1
+    letter = ((data >= 97) & (data <= 122)) | (data >= 0xC2)  # other alphabets are told from signs at the exact check
+    lettered = np.maximum.reduceat(letter, begin)[np.searchsorted(begin, piece, side="right") - 1]
     return owner[solid], number[solid], digest[solid], lettered[solid]
 
 
-def _has_letter(data: np.ndarray) -> np.ndarray:
-    return (((data >= 97) & (data <= 122)) | (data >= 0xC3)).astype(np.int8)  # bytes of other alphabets are told apart exactly later
-
-
 def _sources(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 
 
 def excessive_chunks(docs: DataFrame, doc: str, source: str, text: str, least: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(source, chunk) seen excessively, and (source, documents, needed); docs has each document once."""
+    """(source, chunk) seen excessively, and (source, documents, needed).
+
+    A document delivered twice counts twice here: the counts are upper bounds, which loses no chunk; the exact
+    count of lines follows on candidates alone.  So no text is ever shuffled to find its copies.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -106,7 +128,7 @@ def excessive_chunks(docs: DataFrame, doc: str, source: str, text: str, least: i
         yield _counted(seen)
 
     counts = docs.select(source, text).mapInArrow(count, "source string, chunk long, n long").groupBy("source", "chunk").agg(F.sum("n").alias("n"))
-    needed = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("documents"))
+    needed = docs.groupBy(F.col(source).alias("source"), doc).agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("documents"))
     needed = needed.withColumn("needed", F.greatest(F.lit(least).cast("double"), F.col("documents") * F.lit(share)))
     # Only chunks that reach the least count travel on to the join with the sizes of the sources.
     often = counts.where(F.col("n") >= least).join(needed, counts.source.eqNullSafe(needed.source)).where(F.col("n") >= F.col("needed"))
@@ -124,11 +146,14 @@ def line_key(line: str) -> str:
 
 def repeated_lines(docs: DataFrame, doc: str = "passage_id", source: str = "source_file", text: str = "text", least: int = 8, share: float = 0.1) -> DataFrame:
     """(doc, source, line_no, line): every occurrence of a line repeated excessively within its source."""
-    docs = docs.select(F.col(doc).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).dropDuplicates(["doc"])
+    docs = docs.select(F.col(doc).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     chunks, needed = excessive_chunks(docs, "doc", "source", "text", least, share)
     # One row per source, with the few chunks that a source repeats: at most 16 / share long each, whatever the input.
-    lists = chunks.groupBy("source").agg(F.collect_set("chunk").alias("chunks")).join(needed, chunks.source.eqNullSafe(needed.source)).select(chunks.source.alias("of"), "chunks", "needed")
-    joined = docs.where(F.col("text").isNotNull()).join(lists, F.col("source").eqNullSafe(F.col("of"))).select("doc", "source", "needed", "chunks", "text")
+    lists = chunks.groupBy("source").agg(F.collect_set("chunk").alias("chunks")).join(needed, chunks.source.eqNullSafe(needed.source)).select(chunks.source.alias("of"), "chunks", "needed").persist()
+    filled = docs.where(F.col("text").isNotNull())
+    if (lists.agg(F.sum(F.size("chunks"))).first()[0] or 0) <= MOST_CHUNKS:
+        lists = F.broadcast(lists)
+    joined = filled.join(lists, F.col("source").eqNullSafe(F.col("of"))).select("doc", "source", "needed", "chunks", "text")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

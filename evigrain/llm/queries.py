@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evigrain.llm.boilerplate import repeated_lines, without_lines
 from evigrain.llm.mapping import map_fields
 from evigrain.llm.pieces import oversized_pieces, split_oversized
+from evigrain.llm.scans import count_parts, find_noise, repair_texts, titles_of
 from evigrain.llm.sentences import learn, split_sentences
 from evigrain.plans.tables import table
 
@@ -20,6 +21,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return mapped.select("row_id", "field_name", "item_no", "term_id").distinct()
 
 
+def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pages, records of both tables) with the columns the scan operators take."""
+    pages = table(spark, folder, "page_document")
+    kept = pages.select(F.lit("page_document").alias("table_name"), F.col("page_id").alias("record_id"), F.col("file_name").alias("file"), F.col("page_number").alias("page"), "text")
+    passages = table(spark, folder, "passage").select(F.lit("passage").alias("table_name"), F.col("passage_id").alias("record_id"), F.col("source_file").alias("file"), F.col("page_number").alias("page"), "text")
+    return pages, kept.unionByName(passages)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of scan damage in every page and passage."""
+    pages, records = _scanned(spark, folder)
+    return find_noise(spark, records, count_parts(pages.select("text")), titles_of(pages))
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page and passage as continuous paragraphs."""
+    pages, records = _scanned(spark, folder)
+    return repair_texts(spark, records, count_parts(pages.select("text")), titles_of(pages))
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage within the limit, oversized ones in overlapping pieces."""
     return split_oversized(table(spark, folder, "passage"), "passage_id")
@@ -56,6 +77,8 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
