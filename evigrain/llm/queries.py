@@ -12,6 +12,8 @@ from evigrain.llm.mapping import map_fields
 from evigrain.llm.pieces import oversized_pieces, split_oversized
 from evigrain.llm.scans import count_parts, find_noise, repair_texts, titles_of
 from evigrain.llm.sentences import learn, split_sentences
+from evigrain.llm.toxicity import score_documents, toxic_rates
+from evigrain.llm.truncation import find_truncated, truncation_rates
 from evigrain.plans.tables import table
 
 
@@ -65,6 +67,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(plain, learn(passages.select("text"))).select("passage_id", "sentence_no", "end_char").distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that were cut off."""
+    return find_truncated(spark, table(spark, folder, "sepsis_atlas_results")).where("cut").select("row_id", "field_name").distinct()
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts values off."""
+    return truncation_rates(find_truncated(spark, table(spark, folder, "sepsis_atlas_results")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every line repeated excessively within its source file."""
     return repeated_lines(table(spark, folder, "passage")).select("passage_id", "line_no").distinct()
@@ -76,6 +88,21 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(passages, repeated_lines(passages)).select("passage_id", "source_file", "text", "lines_removed")
 
 
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document."""
+    return score_documents(spark, table(spark, folder, "documents"), table(spark, folder, "doc_label"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with offending content."""
+    return p10_scores(spark, folder).where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of offending documents per source."""
+    return toxic_rates(p10_scores(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_paragraphs": p1_paragraphs,
@@ -84,7 +111,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_sentences": p4_sentences,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 ORACLE: dict[str, str] = {}
