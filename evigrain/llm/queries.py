@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigrain.llm.boilerplate import repeated_lines, without_lines
 from evigrain.llm.mapping import map_fields
+from evigrain.llm.mixing import mix
+from evigrain.llm.packing import pack
 from evigrain.llm.pieces import oversized_pieces, split_oversized
 from evigrain.llm.scans import count_parts, find_noise, repair_texts, titles_of
 from evigrain.llm.sentences import learn, split_sentences
+from evigrain.llm.tokens import with_tokens
 from evigrain.llm.toxicity import score_documents, toxic_rates
 from evigrain.llm.truncation import find_truncated, truncation_rates
-from evigrain.plans.tables import table
+from evigrain.plans.tables import small_rows, table
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,6 +92,36 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(passages, repeated_lines(passages)).select("passage_id", "source_file", "text", "lines_removed")
 
 
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in containers of each capacity, and in containers of all capacities jointly (spec_name mixed)."""
+    specs = {r.spec_name: [r.capacity_tokens] for r in small_rows(table(spark, folder, "container_spec"))}
+    sized = with_tokens(table(spark, folder, "documents")).persist()
+    specs["mixed"] = [c for own in specs.values() for c in own]
+    packed = [pack(spark, sized, own).select(F.lit(name).alias("spec_name"), "*") for name, own in sorted(specs.items())]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    bins = p8_pack(spark, folder).groupBy("spec_name", "container").agg(F.first("capacity").alias("capacity"), F.sum("n_tokens").alias("tokens"))
+    return bins.groupBy("spec_name").agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / F.sum("capacity")).alias("filled"), F.count_if(F.col("tokens") > F.col("capacity")).alias("n_overfull"))
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, folder, "documents")
+    return mix(spark, docs, with_tokens(docs), table(spark, folder, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, with the number of uses."""
+    return _mixture(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source reaches."""
+    return _mixture(spark, folder)[1]
+
+
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A score for every document."""
     return score_documents(spark, table(spark, folder, "documents"), table(spark, folder, "doc_label"))
@@ -115,6 +149,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
