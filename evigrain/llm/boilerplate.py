@@ -178,7 +178,7 @@ def repeated_lines(docs: DataFrame, doc: str = "passage_id", source: str = "sour
                         out.append((ids[o], names[o], needs[o], k, line, xxhash.xxh64_intdigest(line_key(line).encode()) - 2**63))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.int64()))], names=["doc", "source", "needed", "line_no", "line", "key"])
 
-    found = joined.mapInArrow(candidates, "doc string, source string, needed double, line_no int, line string, key long")
+    found = joined.mapInArrow(candidates, "doc string, source string, needed double, line_no int, line string, key long").persist()
     # The exact count runs on candidates alone; the keys of a hot source spread over its lines, and counts are partial before the shuffle.
     exact = found.select("source", "key", "needed", "doc").distinct().groupBy("source", "key", "needed").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("needed"))
     exact = exact.select(F.col("source").alias("of"), F.col("key").alias("of_key"))
