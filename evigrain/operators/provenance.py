@@ -33,13 +33,24 @@ def anchor_terms(predictor: Column, outcome: Column) -> Column:
 
 def best_anchor(text: Column, predictor: Column, outcome: Column, effect: Column, performance: Column) -> Column:
     """The window that fits the row best; a quoted effect or performance counts 5."""
-    quotes = lambda w, v: F.coalesce((F.lower(v) != F.lit(MISSING.lower())) & (v != "") & F.contains(F.lower(w), F.lower(v)), F.lit(False))
-    best = let(anchor_terms(predictor, outcome), lambda terms: first_best(windows(text), lambda w: relevance_to(w, terms) + F.when(quotes(w, effect) | quotes(w, performance), 5.0).otherwise(0.0)))
+    said = lambda v: F.when((v != MISSING) & (v != ""), F.lower(v))
+    sought = F.struct(anchor_terms(predictor, outcome).alias("terms"), said(effect).alias("effect"), said(performance).alias("performance"))
+
+    def score(w: Column, v: Column) -> Column:
+        quoted = let(F.lower(w), lambda low: F.coalesce(F.contains(low, v["effect"]), F.lit(False)) | F.coalesce(F.contains(low, v["performance"]), F.lit(False)))
+        return relevance_to(w, v["terms"]) + F.when(quoted, 5.0).otherwise(0.0)
+
+    best = let(sought, lambda v: first_best(windows(text), lambda w: score(w, v)))
     return F.nullif(collapsed(F.substring(best, 1, CUT)), F.lit(""))
 
 
 def value_anchor(text: Column, value: Column, fallback: Column) -> Column:
-    """The window that a single value comes from: 3 a number, 1 a word, 8 the whole value."""
+    """The window of the text that a single value comes from: 3 a number, 1 a word, 8 the whole value."""
+    return let(windows(text), lambda found: value_window(found, value, fallback))
+
+
+def value_window(found: Column, value: Column, fallback: Column) -> Column:
+    """The same, given the windows."""
     bare = collapsed(value)
     numbers = F.regexp_extract_all(bare, F.lit(r"(?U)(\d+(?:\.\d+)?)"), 1)
     words = F.array_distinct(F.slice(F.filter(tokens(bare), lambda w: (F.length(w) > 2) & ~F.array_contains(array_of(STOPWORDS), w)), 1, 10))
@@ -49,14 +60,14 @@ def value_anchor(text: Column, value: Column, fallback: Column) -> Column:
         hits = lambda low: F.size(F.filter(v["words"], lambda x: F.contains(low, x))) + F.when(F.contains(low, v["whole"]), 8).otherwise(0)
         return F.size(F.filter(v["numbers"], lambda n: F.contains(w, n))) * 3 + let(F.lower(w), hits)
 
-    best = F.nullif(collapsed(F.substring(let(sought, lambda v: first_best(windows(text), lambda w: score(w, v))), 1, CUT)), F.lit(""))
+    best = F.nullif(collapsed(F.substring(let(sought, lambda v: first_best(found, lambda w: score(w, v))), 1, CUT)), F.lit(""))
     return F.when((bare != "") & (bare != MISSING), F.coalesce(best, fallback))
 
 
 def field_sources(text: Column, fallback: Column, values: dict[str, Column]) -> Column:
     """A map of field to anchor for the fields that have a value."""
     given = F.array(*(F.struct(F.lit(f).alias("key"), values[f].alias("value")) for f in SOURCE_FIELDS))
-    anchored = F.transform(given, lambda p: F.struct(p["key"].alias("key"), value_anchor(text, p["value"], fallback).alias("value")))
+    anchored = let(windows(text), lambda found: F.transform(given, lambda p: F.struct(p["key"].alias("key"), value_window(found, p["value"], fallback).alias("value"))))
     return F.map_from_entries(F.filter(anchored, lambda p: p["value"].isNotNull()))
 
 

@@ -25,12 +25,11 @@ def expand(question: str | None) -> list[str]:
 
 def expand_column(c: Column) -> Column:
     """The same for a question in a column, as an array of distinct terms."""
-    low = F.lower(F.coalesce(c, F.lit("")))
     words = F.array_except(tokens(c), array_of(STOPWORDS))
     none = F.array().cast("array<string>")
-    more = [F.when(low.rlike(rf"(?U)\b{k}\b") if len(k) <= 2 else F.contains(low, F.lit(k)), array_of(v)).otherwise(none) for k, v in EXPANSIONS.items()]
-    terms = F.array_distinct(F.concat(words, *more))
-    return F.when(F.size(terms) > 0, terms).otherwise(array_of(DEFAULT_TERMS))
+    named = lambda low, k: low.rlike(rf"(?U)\b{k}\b") if len(k) <= 2 else F.contains(low, F.lit(k))
+    more = let(F.lower(F.coalesce(c, F.lit(""))), lambda low: F.concat(*(F.when(named(low, k), array_of(v)).otherwise(none) for k, v in EXPANSIONS.items())))
+    return let(F.array_distinct(F.concat(words, more)), lambda t: F.when(F.size(t) > 0, t).otherwise(array_of(DEFAULT_TERMS)))
 
 
 def _bonus(low: Column) -> Column:
@@ -51,7 +50,8 @@ def relevance(text: Column, terms: Sequence[str]) -> Column:
         if " " in term:
             total = total + F.when(F.contains(low, F.lit(term)), 4.0).otherwise(0.0)
         else:
-            total = total + F.least(F.regexp_count(low, F.lit(rf"(?U)\b{quoted(term)}\b")), F.lit(5)) * 1.25
+            # Most texts lack most terms: a plain search keeps the pattern from them.
+            total = total + F.when(F.contains(low, F.lit(term)), F.least(F.regexp_count(low, F.lit(rf"(?U)\b{quoted(term)}\b")), F.lit(5)) * 1.25).otherwise(0.0)
     return total + _bonus(low)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigrain.functions.stages import settled
 from evigrain.operators.provenance import page_of, source_link
 from evigrain.operators.scoring import expand, row_relevance
 from evigrain.operators.validate import sources_map, with_support
@@ -30,7 +31,7 @@ def repair(table: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     path = F.lit(None).cast("string")
     if paths is not None:
         filled, path = filled.join(paths.select(F.col("file").alias("_file"), F.col("path").alias("_path")), F.col("source_file") == F.col("_file"), "left").drop("_file"), F.col("_path")
-    filled = filled.withColumn("source_link", source_link(path, F.col("source_file"), F.col("source_page")))
+    filled = settled(filled, {"source_link": source_link(path, F.col("source_file"), F.col("source_page"))})
     own = F.map_from_entries(F.array_compact(F.array(*(F.when((F.col(f) != "") & (F.col(f) != MISSING), F.struct(F.lit(f).alias("key"), F.col("source_anchor").alias("value"))) for f in SOURCE_FIELDS))))
     filled = filled.withColumn("field_sources_json", F.when(F.col("field_sources_json").isin("", MISSING) & (F.col("source_anchor") != ""), F.to_json(own)).otherwise(F.col("field_sources_json")))
     again = F.col("support_status").isin("", MISSING, "legacy anchor")

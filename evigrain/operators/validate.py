@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigrain.functions.stages import settled
 from evigrain.functions.text import array_of, collapsed, tokens
 from evigrain.lexicon import GENERIC_WORDS, STOPWORDS
 from evigrain.operators.provenance import anchor_passage, best_anchor, field_sources, source_link
@@ -30,15 +31,15 @@ def field_supported(value: Column, anchor: Column) -> Column:
 def with_support(rows: DataFrame) -> DataFrame:
     """rows with support_status and support_notes."""
     anchor = collapsed(F.col("source_anchor"))
-    prepared = rows.withColumn("_anchor", anchor).withColumn("_sources", sources_map(F.col("field_sources_json")))
+    prepared = settled(rows, {"_anchor": anchor, "_sources": sources_map(F.col("field_sources_json"))})
     # Each field is judged once, in a projection of its own: 1 supported, 0 weak, null not reported.
     judged = []
     for f in CHECKED_FIELDS:
         value, own = collapsed(F.col(f)), collapsed(F.coalesce(F.nullif(F.col("_sources")[f], F.lit("")), F.col("_anchor")))
         judged.append(F.when((value != "") & (value != MISSING), field_supported(value, own)).alias(f))
-    prepared = prepared.withColumn("_ok", F.struct(*judged))
+    prepared = settled(prepared, {"_ok": F.struct(*judged)})
     count = lambda test: sum((F.when(test(F.col("_ok")[f]), 1).otherwise(0) for f in CHECKED_FIELDS), F.lit(0))
-    prepared = prepared.withColumn("_checked", count(lambda c: c.isNotNull())).withColumn("_good", count(lambda c: c))
+    prepared = settled(prepared, {"_checked": count(lambda c: c.isNotNull()), "_good": count(lambda c: c)})
     weak = F.array_join(F.array_compact(F.array(*(F.when(~F.col("_ok")[f], F.lit(f)) for f in CHECKED_FIELDS))), ", ")
     none = (F.col("_anchor") == "") | (F.col("_anchor") == MISSING)
     status = F.when(none, "unsupported").when(F.col("_checked") == 0, "needs review").when(F.col("_good") == F.col("_checked"), "supported").when(F.col("_good") > 0, "partial").otherwise("needs review")
@@ -59,19 +60,18 @@ def normalise_rows(rows: DataFrame, question: str) -> DataFrame:
     not and becomes the sentinel at the end.
     """
     absent = {c: F.lit(MISSING) for c in EVIDENCE_COLUMNS if c not in rows.columns}
-    rows = rows.withColumns(absent | {"_text": joined_text(F.col("passages"), " "), "query": F.lit(question)})
+    rows = settled(rows, absent | {"_text": joined_text(F.col("passages"), " "), "query": F.lit(question)})
     stem = F.regexp_replace(F.col("passages")[0]["source_file"], r"(?<=[^/])\.[^./]*$", "")
     rows = rows.withColumn("study_name", collapsed(F.coalesce(F.nullif(F.col("study_name"), F.lit("")), stem)))
     own = collapsed(F.col("source_anchor"))
-    rows = rows.withColumn("source_anchor", F.when((own != "") & (own != MISSING), own).otherwise(F.coalesce(best_anchor(F.col("_text"), *(F.col(c) for c in ("predictor", "outcome", "effect_size", "performance"))), F.lit(""))))
-    rows = rows.withColumn("_from", anchor_passage(F.col("source_anchor"), F.col("passages")))
+    rows = settled(rows, {"source_anchor": F.when((own != "") & (own != MISSING), own).otherwise(F.coalesce(best_anchor(F.col("_text"), *(F.col(c) for c in ("predictor", "outcome", "effect_size", "performance"))), F.lit("")))})
+    rows = settled(rows, {"_from": anchor_passage(F.col("source_anchor"), F.col("passages"))})
     given = lambda c, other: F.when(F.col(c) == MISSING, other).otherwise(F.col(c))
-    rows = rows.withColumns({"source_file": given("source_file", F.col("_from.source_file")), "source_page": given("source_page", F.coalesce(F.col("_from.page_number").cast("string"), F.lit(MISSING))), "source_passage_id": given("source_passage_id", F.col("_from.passage_id"))})
+    rows = settled(rows, {"source_file": given("source_file", F.col("_from.source_file")), "source_page": given("source_page", F.coalesce(F.col("_from.page_number").cast("string"), F.lit(MISSING))), "source_passage_id": given("source_passage_id", F.col("_from.passage_id"))})
     blank = lambda c: F.coalesce(F.col(c).isin("", MISSING), F.lit(True))
     link = source_link(F.col("_from.source_path"), F.coalesce(F.nullif(F.col("source_file"), F.lit("")), F.col("_from.source_file")), F.coalesce(F.col("source_page"), F.col("_from.page_number").cast("string")))
     json = F.to_json(field_sources(F.col("_text"), F.col("source_anchor"), {f: F.col(f) for f in ("population", *CHECKED_FIELDS)}))
-    rows = rows.withColumn("source_link", F.when(blank("source_link"), link).otherwise(F.col("source_link")))
-    rows = rows.withColumn("field_sources_json", F.when(blank("field_sources_json"), json).otherwise(F.col("field_sources_json")))
+    rows = settled(rows, {"source_link": F.when(blank("source_link"), link).otherwise(F.col("source_link")), "field_sources_json": F.when(blank("field_sources_json"), json).otherwise(F.col("field_sources_json"))})
     rows = with_support(rows).withColumn("query_relevance_score", F.coalesce(F.array_max(F.transform("passages", lambda p: p["score"])), F.lit(0.0)))
     return to_evidence(rows)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigrain.functions.stages import settled
 from evigrain.functions.text import clean_page, sentences, tokens
 from evigrain.lexicon import DEFAULT_QUESTION
 from evigrain.operators import extract, retrieve
@@ -54,7 +55,7 @@ def ranked(spark: SparkSession, folder: str, k: int = 8) -> DataFrame:
 
 def studies(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, passages, text): each file's best passages and their text."""
-    return retrieve.contexts(ranked(spark, folder)).withColumn("text", retrieve.joined_text(F.col("passages"), "\n\n"))
+    return settled(retrieve.contexts(ranked(spark, folder)), {"text": retrieve.joined_text(F.col("passages"), "\n\n")})
 
 
 @query
@@ -132,21 +133,21 @@ def extract_passage_fields(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sentence_window_anchor(spark: SparkSession, folder: str) -> DataFrame:
     found = extract.fields(F.col("text"), TERMS)
-    s = studies(spark, folder).withColumns({n: F.coalesce(found[n], F.lit(MISSING)) for n in ("predictor", "outcome", "effect_size", "performance")})
+    s = settled(studies(spark, folder), {n: F.coalesce(found[n], F.lit(MISSING)) for n in ("predictor", "outcome", "effect_size", "performance")})
     return s.withColumn("joined", retrieve.joined_text(F.col("passages"), " ")).select("source_file", best_anchor(F.col("joined"), F.col("predictor"), F.col("outcome"), F.col("effect_size"), F.col("performance")).alias("anchor"))
 
 
 @query
 def field_anchor(spark: SparkSession, folder: str) -> DataFrame:
     """The window that each study's population comes from."""
-    s = studies(spark, folder).withColumn("population", extract.population(F.col("text")))
+    s = settled(studies(spark, folder), {"population": extract.population(F.col("text"))})
     return s.select("source_file", value_anchor(retrieve.joined_text(F.col("passages"), " "), F.coalesce("population", F.lit(MISSING)), F.lit(MISSING)).alias("anchor"))
 
 
 @query
 def anchor_passages(spark: SparkSession, folder: str) -> DataFrame:
     """The passage in which each study's population stands."""
-    s = studies(spark, folder).withColumn("quote", F.coalesce(extract.population(F.col("text")), F.lit(MISSING)))
+    s = settled(studies(spark, folder), {"quote": F.coalesce(extract.population(F.col("text")), F.lit(MISSING))})
     return s.select("source_file", anchor_passage(F.col("quote"), F.col("passages"))["passage_id"].alias("passage_id"))
 
 

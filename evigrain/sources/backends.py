@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigrain.functions.stages import settled
+from evigrain.lexicon import FALLBACK_NOTE
 from evigrain.operators.extract import fields
 from evigrain.operators.retrieve import joined_text
 from evigrain.operators.scoring import expand
@@ -85,12 +87,10 @@ def rows_of_answer(answer: str) -> list[dict]:
 
 def regex_rows(studies: DataFrame, question: str) -> DataFrame:
     """One evidence row for each study (source_file, passages) with text."""
-    from evigrain.lexicon import FALLBACK_NOTE
-
-    rows = studies.withColumn("_all", joined_text(F.col("passages"), "\n\n")).where("_all <> ''")
+    rows = settled(studies, {"_all": joined_text(F.col("passages"), "\n\n")}).where("_all <> ''")
     found = {n: F.coalesce(c, F.lit(MISSING)) for n, c in fields(F.col("_all"), expand(question)).items()}
     stem = F.regexp_replace("source_file", r"(?<=[^/])\.[^./]*$", "")
-    rows = rows.withColumns(found | {"study_name": stem, "notes": F.lit(FALLBACK_NOTE), "source_file": F.lit(MISSING)}).drop("_all")
+    rows = settled(rows, found | {"study_name": stem, "notes": F.lit(FALLBACK_NOTE), "source_file": F.lit(MISSING)}).drop("_all")
     return normalise_rows(rows, question)
 
 

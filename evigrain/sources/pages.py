@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from evigrain.functions.text import clean_page
 from evigrain.schemas import MISSING, PAGE
 
-VISION_HEADER = "Vision transcription:"
+VISION_HEADER = "[OpenRouter vision/OCR extraction from page image]"  # fixed value
 MODES, POLICIES = ("off", "auto", "all"), ("warn", "error")
 
 
