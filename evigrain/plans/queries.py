@@ -164,7 +164,7 @@ def validate_support(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def repair_table(spark: SparkSession, folder: str) -> DataFrame:
     """The table repaired, rows without a status validated."""
-    kept = rows(spark, folder).withColumn("support_status", F.when(F.col("row_id") % 2 == 0, F.col("support_status")).otherwise("legacy anchor"))
+    kept = rows(spark, folder).withColumn("support_status", F.when(F.col("support_status") == "partial", "legacy anchor").otherwise(F.col("support_status")))
     return evidence.repair(kept).select("row_id", "source_file", "source_page", "source_link", "field_sources_json", "support_status").distinct()
 
 
