@@ -38,7 +38,12 @@ def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The kinds of scan damage in every page and passage."""
     pages, records = _scanned(spark, folder)
-    return find_noise(spark, records, count_parts(pages.select("text")), titles_of(pages))
+    found = find_noise(spark, records, count_parts(pages.select("text")), titles_of(pages))
+    # A page has every kind its passages have, wherever in the page their edges fall.
+    own, page = F.struct("table_name", "record_id"), F.struct(F.lit("page_document").alias("table_name"), F.regexp_replace("record_id", r":c\d+$", "").alias("record_id"))
+    both = found.select(F.explode(F.when(F.col("table_name") == "passage", F.array(own, page)).otherwise(F.array(own))).alias("r"), "noise_kind").select("r.*", "noise_kind")
+    known = pages.select(F.col("page_id").alias("record_id"), F.lit(True).alias("known")).distinct()
+    return both.distinct().join(known, "record_id", "left").where((F.col("table_name") == "passage") | F.col("known")).drop("known")
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
