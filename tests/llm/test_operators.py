@@ -46,6 +46,11 @@ def test_headers_and_numbers():
     assert [bool(scans.number_line(x)) for x in ("– 3 –", "p. 19", "Page 3 of 9", "[12]", "l2", "xiv", "12", "Methods", "a 3", "12.5 mg")] == [True] * 7 + [False] * 3
 
 
+def test_page_numbers_stand_alone():
+    assert scans.page_number_lines("a title\nsome text\n12") == [2] and scans.page_number_lines("– 3 –\nx\ny\nz") == [0]
+    assert scans.page_number_lines("Values\n310\n156") == [] and scans.page_number_lines("see p.\n1841.") == [] and scans.page_number_lines(" ") == []
+
+
 def test_noise_rows(spark):
     rows = [("page_document", "f:p1", "f", 1, "Early lactate in Northtown\nthe bcfore\n– 1 –"), ("page_document", "f:p1", "f", 1, "Early lactate in Northtown\nthe bcfore\n– 1 –"), ("passage", "x", None, None, None), ("passage", "y", "f", 2, " ")]
     df = frame(spark, rows, "table_name string, record_id string, file string, page int, text string")
