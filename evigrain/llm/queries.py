@@ -43,7 +43,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     own, page = F.struct("table_name", "record_id"), F.struct(F.lit("page_document").alias("table_name"), F.regexp_replace("record_id", r":c\d+$", "").alias("record_id"))
     both = found.select(F.explode(F.when(F.col("table_name") == "passage", F.array(own, page)).otherwise(F.array(own))).alias("r"), "noise_kind").select("r.*", "noise_kind")
     known = pages.select(F.col("page_id").alias("record_id"), F.lit(True).alias("known")).distinct()
-    return both.distinct().join(known, "record_id", "left").where((F.col("table_name") == "passage") | F.col("known")).drop("known")
+    return both.distinct().join(known, "record_id", "left").where((F.col("table_name") == "passage") | F.col("known")).select("table_name", "record_id", "noise_kind")
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
