@@ -141,7 +141,7 @@ def test_pages_with_vision(spark, tmp_path):
 
 
 CASES = [
-    (None, []), ("", []), ("  ", []), ("Albumin", ["Albumin"]), ("; a;; b ;", ["a", "b"]), ("a, b and c & d", ["a", "b", "c", "d"]),
+    (None, []), ("", []), ("  ", []), ("Albumin", ["Albumin"]), ("; a;; b ;", ["a", "b"]), ("A, B and C & D", ["A", "B", "C", "D"]),
     ('"a, ""b""", c', ['a, "b"', "c"]), ('["a", "b; c"]', ["a", "b; c"]), ("• a • b, c", ["a", "b, c"]), ("1) a 2) b", ["a", "b"]), ("(1) a; (2) b", ["a", "b"]),
     ("- a\n- b-c", ["a", "b-c"]), ("Bilirubin, total; x", ["Bilirubin, total", "x"]), ("HR 1,17 (1,02–1,72), p = 0.02; OR 2 [1; 3]", ["HR 1,17 (1,02–1,72), p = 0.02", "OR 2 [1; 3]"]),
     ("'a; b' | c", ["a; b", "c"]), ("a；b、c », d » e", ["a", "b", "c »", "d", "e"]), ('a " b; c', ['a " b', "c"]), ("a; a", ["a", "a"]), ("x" * 5000 + ";y", ["x" * 5000, "y"]),
