@@ -53,8 +53,9 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Every passage within the limit, oversized ones in overlapping pieces."""
-    return split_oversized(table(spark, folder, "passage"), "passage_id")
+    """Every page and passage within the limit, oversized ones in overlapping pieces."""
+    parts = [split_oversized(table(spark, folder, t), k).withColumnRenamed(k, "record_id").select(F.lit(t).alias("table_name"), "*") for t, k in (("page_document", "page_id"), ("passage", "passage_id"))]
+    return parts[0].unionByName(parts[1])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evigrain.llm import boilerplate, mapping, mixing, packing, pieces, scans, sentences, tokens, toxicity, truncation
+from evigrain.llm import boilerplate, mapping, mixing, packing, pieces, queries, scans, sentences, tokens, toxicity, truncation
 
 WORDS = "the patient cohort before mortality covered answer within separated second injury modern clinical department".split()
 
@@ -92,6 +92,14 @@ def test_pieces_rows(spark):
         pieces.cut("x" * 50, 20, 20)
 
 
+def test_pieces_of_both_tables(spark, tmp_path):
+    long = "word " * 600
+    frame(spark, [("f:p1", long), ("f:p1", long), ("f:p2", None)], "page_id string, text string").write.parquet(f"{tmp_path}/page_document.parquet")
+    frame(spark, [("f:p1:c0", "short"), ("f:p1:c1", long)], "passage_id string, text string").write.parquet(f"{tmp_path}/passage.parquet")
+    got = sorted((r.table_name, r.record_id, r.piece_no) for r in queries.p2_pieces(spark, str(tmp_path)).collect())
+    assert got == [("page_document", "f:p1", 1), ("page_document", "f:p1", 2), ("passage", "f:p1:c0", 1), ("passage", "f:p1:c1", 1), ("passage", "f:p1:c1", 2)]
+
+
 # 3 — canonical list
 
 
