@@ -2,10 +2,10 @@
 
 The words of all pages are counted once.  A text is then read as a stream of characters without its line
 breaks, in which a word may have been split, merged with its neighbour, broken by a hyphen or misread; the
-cheapest sequence of words under the counts (a noisy channel decoded by dynamic programming) gives the
-repair and tells which kinds of damage are present.  Most of a text consists of words beyond doubt; the
-lattice is built only around the others, which changes no result, since a frequent word is its own cheapest
-reading.  Running headers and page numbers are lines at the edge of a page that carry the title of the file
+cheapest sequence of words under the counts (a noisy channel decoded by dynamic programming) tells which kinds
+of damage are present: a break mark that it drops, a confusion that it uses.  Stroke keys and word counts only
+find what a stretch may be read as.  Most of a text consists of words beyond doubt; the lattice is built only
+around the others, with their neighbours.  The repair decodes runs of doubtful words in the same manner.  Running headers and page numbers are lines at the edge of a page that carry the title of the file
 or the name of a journal, or a number.  Paragraphs are the cheapest partition of the remaining lines.
 
 Defined results: null and blank texts have no damage and repair to themselves; a record delivered again
@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from statistics import median
 
 import pyarrow as pa
@@ -35,6 +36,10 @@ NUMERALS = str.maketrans("lIi|!OoSsBZzgq", "11111005582299")  # fixed values: le
 RATIO, LEAST = 8, 4  # how much commoner, and how common, the true word is
 MOST_WORDS = 3_000_000
 LONGEST = 40  # letters of a word
+HEAD = 6  # strokes by which the beginnings of counted words are looked up
+BREAK = "\x02"  # stands for a break mark and its gap
+# Prices in a region: of a letter of an unknown word, a blank within a word, a blank that is missing, a break mark that stays.
+UNKNOWN, SPLIT, MERGED, KEPT = 3.0, 3.0, 5.0, 25.0
 
 _STRIP = ".,;:()[]{}\"'“”„«»‘’–—…?¿¡!*•§©-‐¬\xad"
 # Joints of a token, and writing without blanks, whose characters are no part of a word that could be judged here.
@@ -98,6 +103,43 @@ def count_parts(texts: DataFrame, least: int = 2) -> dict[str, int]:
     return {r.part: r.n for r in rows}
 
 
+def regions(tokens: list[str], doubtful: set[str], breaks: list[tuple[str, str, str, str]]) -> Iterator[tuple[tuple[str, ...], tuple[tuple[str, str] | None, ...]]]:
+    """(atoms, gaps between them) of every run of doubtful tokens, with the neighbours on either side that no punctuation parts from it."""
+    marks = iter(breaks)
+    atoms: list[str] = []
+    gaps: list[tuple[str, str] | None] = []
+    for at in [i for i, t in enumerate(tokens) if t in doubtful]:
+        token = tokens[at]
+        if at and token[0].isalnum() and tokens[at - 1][-1].isalnum():
+            if not atoms:
+                atoms = parts_of(tokens[at - 1])[-1:]
+        elif atoms:
+            yield tuple(atoms), tuple(gaps)
+            atoms, gaps = [], []
+        for i, part in enumerate(parts_of(token)):
+            if i and atoms:
+                yield tuple(atoms), tuple(gaps)
+                atoms, gaps = [], []
+            for j, half in enumerate(part.split(BREAK)):
+                gap = None
+                if j:
+                    left, *gap, right = next(marks)
+                    # Writing without blanks has no parts; there the halves are what stands beside the mark.
+                    atoms[-1], half, gap = atoms[-1] or left, half or right, tuple(gap)
+                if atoms:
+                    gaps.append(gap)
+                atoms.append(half)
+        after = tokens[at + 1] if at + 1 < len(tokens) else "."
+        if after in doubtful:
+            continue
+        if atoms and token[-1].isalnum() and after[0].isalnum() and (own := parts_of(after)):
+            gaps.append(None)
+            atoms.append(own[0])
+        if atoms:
+            yield tuple(atoms), tuple(gaps)
+        atoms, gaps = [], []
+
+
 class Reader:
     """Judges and repairs tokens under word counts."""
 
@@ -109,9 +151,11 @@ class Reader:
             if not word.isdigit() and word.isalpha():
                 key = word.translate(STROKES)
                 self.alike[key] = max(self.alike.get(key, (0, "")), (n, word))
+        self.heads = {word.translate(STROKES)[:HEAD] for word in counts}
         self.clean: set[str] = set()
         self.reading = lru_cache(300_000)(self._reading)
         self.decode = lru_cache(100_000)(self._decode)
+        self.path = lru_cache(100_000)(self._path)
 
     def _reading(self, part: str) -> tuple[str, float] | None:
         """(true word, cost) if the part is a misread word or number, else None."""
@@ -122,7 +166,7 @@ class Reader:
                 return None
             true = part.translate(NUMERALS)
             own, other = self.counts.get(shape(part), 0), self.counts.get(shape(true), 0)
-            return (true, 4.0) if other >= LEAST and other >= RATIO * own else None
+            return (true, self.total - math.log(other) + math.log(RATIO)) if other >= LEAST and other >= RATIO * own else None
         low = part.lower()
         odd = bool(_ODD_INSIDE.search(part))
         if len(low) < 2 or (len(low) < 3 and not odd):
@@ -131,7 +175,8 @@ class Reader:
         n, other = self.alike.get(low.translate(STROKES), (0, ""))
         if other == low or len(other) < 2 or not (n >= LEAST and n >= RATIO * max(own, 0.5) or odd and n > own):
             return None
-        return other, self.total - math.log(n) + 4.0
+        # At this price a word on its own is read as the other one if that is RATIO times commoner, an odd one if it is commoner.
+        return other, self.total - math.log(n) + (0.0 if odd else math.log(RATIO))
 
     def misread(self, token: str) -> bool:
         return any(self.reading(p) is not None for p in parts_of(token))
@@ -156,27 +201,98 @@ class Reader:
         return self.reading(left + right) is not None or self.known(left) < LEAST or self.known(right) < LEAST
 
     def damage(self, text: str) -> tuple[bool, bool]:
-        """(hyphenation, misreading) anywhere in the text."""
-        hyphen = False
-
-        def judge(left: str, mark: str, gap: str, right: str) -> str:
-            nonlocal hyphen
-            if self.broken(left, mark, gap, right):
-                hyphen = True
-                return ""
-            return mark if "\n" in gap else mark + gap
-
-        text = mend(text, judge)
-        clean = self.clean
-        unknown = [t for t in set(text.split()) if t not in clean]
-        bad = False
-        for token in unknown:
-            if self.misread(token):
-                bad = True
-            elif len(clean) < 2_000_000:
-                clean.add(token)
+        """(hyphenation, misreading) anywhere in the text, as the cheapest path over its doubtful regions has them."""
+        breaks: list[tuple[str, str, str, str]] = []
+
+        def note(left: str, mark: str, gap: str, right: str) -> str:
+            breaks.append((left, mark, gap, right))
+            return BREAK
+
+        tokens = mend(text.replace(BREAK, " "), note).split()
+        doubtful = {t for t in set(tokens) if t not in self.clean and not self.certain(t)}
+        hyphen = bad = False
+        if doubtful:
+            for atoms, gaps in regions(tokens, doubtful, breaks):
+                # What can tell nothing new is not decoded.
+                if not (bad and (hyphen or not any(gaps))):
+                    joined, confused = self.path(atoms, gaps)
+                    hyphen, bad = hyphen or joined, bad or confused
         return hyphen, bad
 
+    def certain(self, token: str) -> bool:
+        """Whether the token is beyond doubt: no break, and every part frequent or no word of Latin letters, and none misread."""
+        for p in parts_of(token):
+            if BREAK in p or self.reading(p) is not None or (len(p) > 1 and p.isalpha() and self.known(p) < LEAST and _LATIN.search(p)):
+                return False
+        if len(self.clean) < 2_000_000:
+            self.clean.add(token)
+        return True
+
+    def _path(self, atoms: tuple[str, ...], gaps: tuple[tuple[str, str] | None, ...]) -> tuple[bool, bool]:
+        """(break mark dropped, confusion used) on the cheapest way to read atoms; a gap is a blank (None) or a break (mark, gap).
+
+        A word may begin or end inside an atom (merged) or cross a blank (split) only if it is known or confused with
+        a known one; one that crosses a break must be possible as a broken word.
+        """
+        chars, at, ends = "".join(atoms), 0, {}
+        for atom, gap in zip(atoms, (*gaps, None)):
+            at += len(atom)
+            ends[at] = gap
+        size, low = len(chars), chars.lower()
+        low = low if len(low) == size else chars
+        edges = {0, *ends}
+        inner = sorted(g for g in ends if g < size)
+        whole = {b: e for b, e in zip((0, *ends), ends)}
+        keys = [c.translate(STROKES) for c in low]
+        key_at = [0, *accumulate(map(len, keys))]
+        strokes = "".join(keys)
+        cost, back = [0.0] + [math.inf] * size, [(0, False, False)] * (size + 1)
+        for begin in range(size):
+            if cost[begin] == math.inf:
+                continue
+            low_key = key_at[begin]
+            if strokes[low_key : low_key + HEAD] in self.heads:
+                reach = [*range(begin + 1, min(size, begin + LONGEST) + 1)]
+                reach += [e for e in (whole.get(begin, 0),) if e > begin + LONGEST]
+            else:
+                # No counted word begins like this, but for short ones; what may be unknown runs from edge to edge.
+                reach = [e for e in range(begin + 1, min(size, begin + HEAD) + 1) if key_at[e] - low_key < HEAD or (begin in edges and e in edges)]
+                reach += [e for e in ends if e > begin + HEAD and begin in edges and (e <= begin + LONGEST or whole[begin] == e)]
+            for end in reach:
+                atom = whole.get(begin) == end
+                crossed = () if atom else [g for g in inner if begin < g < end]
+                n, confused = self.counts.get(low[begin:end], 0), False
+                key = "" if atom else strokes[low_key : key_at[end]]
+                marked = any(ends[g] for g in crossed)
+                if not (atom or marked or n >= LEAST or key in self.alike):
+                    continue
+                piece = chars[begin:end]
+                if atom and not n and not piece.isalpha():
+                    n = self.counts.get(counted(piece), 0)
+                price = self.total - math.log(n) if n else self.total + UNKNOWN * len(piece)
+                if (r := self.reading(piece) if atom or key in self.alike else None) and r[1] < price:
+                    confused, price = True, r[1]
+                if not atom:
+                    if n < LEAST and not confused and not (marked and begin in edges and end in edges and all(ends[g] for g in crossed)):
+                        continue
+                    if not all(self.broken(chars[begin:g], *ends[g], chars[g:end]) if ends[g] else min(self.known(chars[begin:g]), self.known(chars[g:end])) < LEAST for g in crossed):
+                        continue
+                    price += SPLIT * sum(not ends[g] for g in crossed) + MERGED * (begin not in edges)
+                    if confused and not (begin in edges and end in edges):
+                        # Short words lie in many a name that is seen once.
+                        if end - begin < 4:
+                            continue
+                        price += 2 * MERGED
+                if ends.get(begin):
+                    price += KEPT
+                if cost[begin] + price < cost[end]:
+                    cost[end], back[end] = cost[begin] + price, (begin, marked, confused)
+        end, joined, bad = size, False, False
+        while end:
+            end, marked, confused = back[end]
+            joined, bad = joined or marked, bad or confused
+        return joined, bad
+
     def _decode(self, region: str) -> str:
         """The cheapest words for a stretch of characters, in which blanks may be missing or superfluous."""
         chars = region.replace(" ", "")

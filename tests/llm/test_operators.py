@@ -39,6 +39,14 @@ def test_hyphens_and_repair():
     assert r.repair("the thepatient") == "the the patient"
 
 
+def test_damage_comes_from_the_path():
+    r = scans.Reader(counts())
+    # Split or merged as well as misread: no token of these is confused with a word on its own.
+    assert not any(map(r.misread, "mor tal1ty bcforethe ta1 ity".split()))
+    assert r.damage("the mor tal1ty of") == (False, True) and r.damage("a bcforethe patient") == (False, True)
+    assert r.damage("the mor-\nta1 ity") == (True, True) and r.damage("the thepatient, mor tality") == (False, False)
+
+
 def test_headers_and_numbers():
     title = "Early lactate in Northtown admissions"
     assert all(scans.is_header(x, title) for x in (title, title.upper(), "Early lactate ...   12", "EARLY LACTATE IN", "Earlv lactate in".replace("v", "y"), "12   Ear1y 1actate in Northtown"))
