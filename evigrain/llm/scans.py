@@ -315,8 +315,9 @@ class Reader:
                 word, price = piece, own
                 if bare and (n < LEAST or _ODD_INSIDE.search(bare)):
                     r = self.reading(bare)
-                    if r and r[1] < price:
-                        word, price = piece.replace(bare, _cased(bare, r[0])), r[1]
+                    dear = r[1] + 4.0 - math.log(RATIO) if r else math.inf  # dearer than in damage(): here nothing else keeps short words out
+                    if r and dear < price:
+                        word, price = piece.replace(bare, _cased(bare, r[0])), dear
                 price += 3.0 * sum(begin < g < end for g in gaps) + (0.0 if end in gaps or end == size else 5.0)
                 if cost[begin] + price < cost[end]:
                     cost[end], back[end] = cost[begin] + price, (begin, word)
@@ -506,6 +507,29 @@ def paragraphs(lines: list[tuple[str, bool]]) -> list[str]:
     return ["\n".join(x for x, _ in lines[b:e]) for b, e in reversed(cuts)]
 
 
+def printed_lines(text: str, title: str | None) -> set[int]:
+    """Which lines at the edge of a record are a running header or its page number."""
+    return {i for i, x in edge_lines(text) if is_header(x, title)} | set(page_number_lines(text))
+
+
+def lines_in_place(text: str, title: str | None) -> list[str]:
+    """Each printed line of a passage between the lines before and after it, by which its page finds it again."""
+    filled, gone = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()], printed_lines(text, title)
+    beside = ["", *(x for _, x in filled), ""]
+    return ["\n".join(beside[k : k + 3]) for k, (i, _) in enumerate(filled) if i in gone]
+
+
+def placed_lines(text: str, places: list[str]) -> set[int]:
+    """The lines of a page that its passages have at their edges; one without a line beside it must be the only one like it."""
+    filled = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
+    beside, out = ["", *(x for _, x in filled), ""], set()
+    for before, line, after in (p.split("\n") for p in places):
+        at = [i for k, (i, x) in enumerate(filled) if x == line and before in ("", beside[k]) and after in ("", beside[k + 2])]
+        if before or after or len(at) == 1:
+            out.update(at)
+    return out
+
+
 def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int], titles: DataFrame) -> DataFrame:
     """(table_name, record_id, text): each record once, as continuous paragraphs without headers and page numbers."""
     shared = spark.sparkContext.broadcast(counts)
@@ -514,9 +538,9 @@ def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int]
         reader = Reader(shared.value)
         for batch in batches:
             out = []
-            for name, key, text, title in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, key, text, title, places in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and not text.isspace():
-                    gone = {i for i, x in edge_lines(text) if is_header(x, title)} | set(page_number_lines(text))
+                    gone = printed_lines(text, title) | placed_lines(text, places or [])
                     raw = text.split("\n")
                     lines = [(x, i + 1 < len(raw) and not raw[i + 1].strip()) for i, x in enumerate(raw) if x.strip() and i not in gone]
                     text = "\n\n".join(reader.repair(p) for p in paragraphs(lines))
@@ -524,5 +548,15 @@ def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int]
             columns = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["table_name", "record_id", "text"])
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(page, x) for page, text, title in zip(*(c.to_pylist() for c in batch.columns)) for x in lines_in_place(text, title)]
+            columns = zip(*out) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["page_id", "place"])
+
     titled = records.join(titles, "file", "left").select("table_name", "record_id", "text", "title")
+    # A page loses the printed lines of its passages too, wherever in the page their edges fall; only those lines are joined.
+    passages = titled.where("table_name = 'passage' and text is not null").select(F.regexp_replace("record_id", r":c\d+$", "").alias("page_id"), "text", "title")
+    placed = passages.mapInArrow(places, "page_id string, place string").groupBy("page_id").agg(F.collect_set("place").alias("places"))
+    titled = titled.join(placed, (F.col("table_name") == "page_document") & (F.col("record_id") == F.col("page_id")), "left").select("table_name", "record_id", "text", "title", "places")
     return titled.mapInArrow(repair, "table_name string, record_id string, text string").dropDuplicates(["table_name", "record_id"])

@@ -70,6 +70,14 @@ def test_noise_rows(spark):
     assert scans.find_noise(spark, df.limit(0), {}, titles).count() == 0
 
 
+def test_pages_lose_the_printed_lines_of_their_passages(spark):
+    first, second = "the patient.\n310\n156\nthe cohort.\n- 3 -", "- 3 -\nthe injury.\nthe day.\n12"
+    rows = [("page_document", "f:p1", "f", 1, "the\nday.\n" + first + "\n\nthe second.\n" + second + "\nthe\nanswer.\nday."), ("passage", "f:p1:c0", "f", 1, first), ("passage", "f:p1:c1", "f", 1, second)]
+    df = frame(spark, rows, "table_name string, record_id string, file string, page int, text string")
+    fixed = {r.record_id: r.text for r in scans.repair_texts(spark, df, counts(), frame(spark, [], "file string, title string")).collect()}
+    assert not re.search(r"- 3 -|\b12\b", fixed["f:p1"]) and "310" in fixed["f:p1"] and "156" in fixed["f:p1"] and "injury" in fixed["f:p1"]
+
+
 def test_paragraphs():
     lines = [("The cohort was followed for a long time and nobody", False), ("left it before the end of the year.", True), ("Another paragraph begins here, and it goes on for", False), ("two lines.", False)]
     assert len(scans.paragraphs(lines)) == 2 and scans.paragraphs([]) == []
