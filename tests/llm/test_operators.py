@@ -140,9 +140,11 @@ def test_mapping_rows(spark):
 
 def model():
     return sentences.Model(
-        {"en": {"dr": (0, 50), "no": (0, 20), "etc": (9, 10), "fig": (0, 30), "i.e": (0, 9), "a.m": (0, 5)}, "de": {"z": (0, 9), "b": (0, 9)}},
+        {"en": {"dr": (0.0, 50), "no": (0.0, 20), "etc": (0.9, 10), "fig": (0.0, 30), "i.e": (0.0, 9), "a.m": (0.0, 5)}, "de": {"z": (0.0, 9), "b": (0.0, 9)}},
         {"en": {"the", "we", "samples"}, "de": {"der"}},
         {"en": {("no", "##"), ("fig", "##")}, "de": {("##", "märz")}},
+        {"en": {"army"}},
+        {"และก"},
     )
 
 
@@ -160,6 +162,10 @@ def model():
         ("Am 12. März wurden die Werte z. B. nicht und der Rest bei 3. Der Wert stieg.", ["Am 12. März wurden die Werte z. B. nicht und der Rest bei 3.", "Der Wert stieg."]),
         ("Τι είναι αυτό που βλέπουμε εδώ σήμερα; Η τιμή ανέβηκε.", ["Τι είναι αυτό που βλέπουμε εδώ σήμερα;", "Η τιμή ανέβηκε."]),
         ("no mark at all", ["no mark at all"]),
+        ("It was the U.K. Army of J. Q. Smith, see Dr. Army of it.", ["It was the U.K. Army of J. Q. Smith, see Dr. Army of it."]),
+        ("The end was etc. Army of it.", ["The end was etc.", "Army of it."]),
+        ("ค่าแลคเตท1.5 และการวัดซ้ำ อัตราตาย24.8%", ["ค่าแลคเตท1.5 และการวัดซ้ำ", "อัตราตาย24.8%"]),
+        (f"The {'x' * 200}. {'Y' * 200} was it. Dr.{' ' * 200}Smith saw {'z' * 90}-no. 3 of it.", [f"The {'x' * 200}.", f"{'Y' * 200} was it.", f"Dr.{' ' * 200}Smith saw {'z' * 90}-no. 3 of it."]),
         ("", []), (None, []), ("  \n ", []),
     ],
 )
@@ -180,6 +186,27 @@ def test_learning_abbreviations(spark):
     m = sentences.learn(frame(spark, texts + [(None,), ("",)], "t string"))
     assert {"dr", "fig", "no"} <= set(m.abbreviations["en"]) and "ward" not in m.abbreviations["en"] and "the" in m.starters["en"]
     assert not sentences.learn(frame(spark, [], "t string")).abbreviations
+    # The same rates in ten times as many texts give the same model, stray spellings without a period included.
+    texts += [("Seen by Dr Adams in fig 3 of the ward.",)] * 2
+    once, ten = (sentences.learn(frame(spark, texts * n, "t string"), reference=8_000) for n in (1, 10))
+    assert {"dr", "fig", "no"} <= set(once.abbreviations["en"]) and once.starters and once.collocations
+    assert (once.starters, once.collocations, once.common, once.within) == (ten.starters, ten.collocations, ten.common, ten.within)
+    assert {k: v[0] for k, v in once.abbreviations["en"].items()} == {k: v[0] for k, v in ten.abbreviations["en"].items()}
+
+
+def test_learning_thai_blanks(spark):
+    rnd = random.Random(9)
+    starts, goes_on = ["ค่าแลคเตท", "อัตราตาย", "พื้นที่ใต้โค้ง", "ผู้ป่วยทั้งหมด"], ["และลดลง", "ในวันที่"]
+    texts = [(" ".join(x for _ in range(4) for x in (rnd.choice(starts) + str(rnd.randrange(9)), *rnd.sample(goes_on, rnd.randrange(2)))),) for _ in range(300)]
+    m = sentences.learn(frame(spark, texts, "t string"))
+    assert m.within == {x[: sentences.OPENING] for x in goes_on}
+
+
+def test_language_of_the_whole_text():
+    assert sentences.languages("The end of it was 患者 not that.", "The end of it was 患者 not that.".split())[0] == "en"
+    late = "x " * 5000 + "α" * 30000
+    assert sentences.languages(late, late.split())[0] == "el"
+    assert sentences.languages("α2 of the end", "α2 of the end".split()) == ("en", False)
 
 
 # 6 — cut-off values
