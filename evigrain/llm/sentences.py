@@ -47,7 +47,7 @@ FUNCTION_WORDS = {
     "es": "el los una por las del se en con fue que para y más no al",
 }
 _OF_WORD = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words.split() if sum(w in v.split() for v in FUNCTION_WORDS.values()) == 1}
-_SCRIPT = re.compile("|".join(f"(?P<{name}>[{span}])" for name, span in SCRIPTS))
+_SCRIPT = re.compile(f"[{''.join(span for _, span in SCRIPTS)}]")
 _OF_SCRIPT = [(name, re.compile(f"[{span}]")) for name, span in SCRIPTS]
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
@@ -61,21 +61,23 @@ _INITIALS = re.compile(r"[^\W\d_](?:\.[^\W\d_])*")
 
 def languages(text: str, tokens: list[str]) -> tuple[str, bool]:
     """(main language, whether another one is mixed in): the script with most letters, each sign of writing without blanks as two; Latin script by its function words."""
-    hits = Counter(_OF_WORD[t] for t in tokens if t in _OF_WORD)
-    if _SCRIPT.search(text):
+    hits = [_OF_WORD[t] for t in tokens if t in _OF_WORD]
+    if not text.isascii() and _SCRIPT.search(text):
         letters = {name: len(own.findall(text)) * (2 if name in ("ja", "zh") else 1) for name, own in _OF_SCRIPT}
         if letters["ja"]:
             letters["ja"], letters["zh"] = letters["ja"] + letters["zh"], 0
         name = max(letters, key=lambda x: letters[x])
         if letters[name] >= len(_LATIN.findall(text)):
-            return name, sum(hits.values()) > 2 or sum(n >= 20 for n in letters.values()) > 1
+            return name, len(hits) > 2 or sum(n >= 20 for n in letters.values()) > 1
         foreign = letters[name] >= 20  # a Greek letter or two are symbols
     else:
         foreign = False
     if not hits:
         return "en", foreign
-    top = hits.most_common(2)
-    return top[0][0], foreign or len(top) > 1 and top[1][1] > 2
+    if hits.count(hits[0]) == len(hits):
+        return hits[0], foreign
+    top = Counter(hits).most_common(2)
+    return top[0][0], foreign or top[1][1] > 2
 
 
 def word_type(token: str) -> str:
@@ -134,7 +136,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 lang, _ = languages(text, tokens)
                 tokens_of.setdefault(lang, Counter()).update(tokens)
                 after_of.setdefault(lang, Counter()).update(tokens[:1])
-                pairs_of.setdefault(lang, Counter()).update([p for p in zip(tokens, tokens[1:]) if "." in p[0][-3:] or p[0][-1] in "!?…"])
+                pairs_of.setdefault(lang, Counter()).update([p for p in zip(tokens, tokens[1:]) if "." in p[0][-3:] or p[0][-1] in "!?"])
                 if lang == "th":
                     if is_thai(tokens[0][0]):
                         add((lang, "\x01" + tokens[0][:OPENING], None), 0, 1)
