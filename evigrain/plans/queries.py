@@ -18,14 +18,15 @@ from evigrain.operators.scoring import expand, expand_column
 from evigrain.operators.segment import segment
 from evigrain.operators.validate import with_support
 from evigrain.plans.atlas import build
-from evigrain.plans.tables import small_rows, table, term_names
-from evigrain.schemas import EVIDENCE_COLUMNS, MISSING
+from evigrain.plans.tables import delivered_once, small_rows, table, term_names
+from evigrain.schemas import EVIDENCE_COLUMNS, MISSING, PAGE
 from evigrain.sources.pages import wants_vision
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TERMS = expand(DEFAULT_QUESTION)
 UNKNOWN_QUESTION = "zzyzx qwxv"
+PAGE_COLUMNS = ["page_id", *PAGE.fieldNames()]
 PASSAGE_COLUMNS = ["passage_id", "source_file", "source_path", "page_number", "chunk_index", "text"]
 
 
@@ -36,16 +37,16 @@ def query(f: Query) -> Query:
 
 def passages(spark: SparkSession, folder: str) -> DataFrame:
     """Each passage once, though it was delivered again."""
-    return table(spark, folder, "passage").select(*PASSAGE_COLUMNS).distinct()
+    return delivered_once(spark, folder, "passage", *PASSAGE_COLUMNS)
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "page_document").drop("parsed_at").distinct()
+    return delivered_once(spark, folder, "page_document", *PAGE_COLUMNS)
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
     """Each evidence row once, missing cells as the sentinel."""
-    kept = table(spark, folder, "sepsis_atlas_results").select("row_id", *EVIDENCE_COLUMNS).distinct()
+    kept = delivered_once(spark, folder, "sepsis_atlas_results", "row_id", *EVIDENCE_COLUMNS)
     return kept.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(MISSING)) for c in EVIDENCE_COLUMNS[:-1]})
 
 
