@@ -18,7 +18,7 @@ from evigrain.llm.sentences import learn, split_sentences
 from evigrain.llm.tokens import with_tokens
 from evigrain.llm.toxicity import score_documents, toxic_rates
 from evigrain.llm.truncation import find_truncated, truncation_rates
-from evigrain.plans.tables import small_rows, table
+from evigrain.plans.tables import delivered_once, small_rows, table
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,14 +77,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(plain, learn(passages.select("text"))).select("passage_id", "sentence_no", "end_char").distinct()
 
 
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    """What operator 6 judges, each row once: a copy would be evidence for its own end."""
+    return find_truncated(spark, delivered_once(spark, folder, "sepsis_atlas_results", "row_id", "source_file", "source_anchor", "outcome", "field_sources_json"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values that were cut off."""
-    return find_truncated(spark, table(spark, folder, "sepsis_atlas_results")).where("cut").select("row_id", "field_name").distinct()
+    return _values(spark, folder).where("cut").select("row_id", "field_name").distinct()
 
 
 def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
     """How often each source cuts values off."""
-    return truncation_rates(find_truncated(spark, table(spark, folder, "sepsis_atlas_results")))
+    return truncation_rates(_values(spark, folder))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
