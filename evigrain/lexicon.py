@@ -1,18 +1,21 @@
 """Word lists, expansions and patterns that decide which text matches; order matters."""
 
-STOPWORDS = "a an and are as at be by for from how in into is it of on or patients relationship study the to using what with".split()
-GENERIC_WORDS = "analysis criteria level levels model score scores test use value values variable variables".split()
+# Words of a question or field that tell nothing.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "patients",
+    "relationship", "study", "the", "to", "using", "what", "with",
+]
+GENERIC_WORDS = ["analysis", "criteria", "level", "levels", "model", "score", "scores", "test", "use", "value", "values", "variable", "variables"]
 
-_DEATH = ["mortality", "death", "died", "deceased", "fatality", "survival"]
-_AREA = ["auc", "auroc", "area under", "roc"]
+# What a word of a question also asks for.
 EXPANSIONS = {
-    "mortality": _DEATH,
-    "death": _DEATH,
+    "mortality": ["mortality", "death", "died", "deceased", "fatality", "survival"],
+    "death": ["mortality", "death", "died", "deceased", "fatality", "survival"],
     "lactate": ["lactate", "lactic"],
     "sofa": ["sofa", "sequential organ failure assessment"],
     "apache": ["apache", "acute physiology"],
-    "auc": _AREA,
-    "auroc": _AREA,
+    "auc": ["auc", "auroc", "area under", "roc"],
+    "auroc": ["auc", "auroc", "area under", "roc"],
     "or": ["odds ratio", "or"],
     "hr": ["hazard ratio", "hr"],
     "risk": ["risk", "odds ratio", "hazard ratio", "regression"],
@@ -24,6 +27,7 @@ BONUSES = {"mortality": 2.0, "death": 1.5, "auc": 2.0, "auroc": 2.0, "odds ratio
 ANCHOR_TERMS = ["mortality", "death", "auc", "auroc", "odds ratio", "hazard ratio", "regression"]
 DEFAULT_QUESTION = "What is the relationship between lactate level and 28-day mortality in septic shock?"
 
+# Patterns of the other fields.
 POPULATION_WORDS = ["patients", "cohort", "included", "enrolled", "admitted"]
 SAMPLE_PATTERNS = [
     r"\bN\s*=\s*[\d,]+",
@@ -91,18 +95,16 @@ TIMING_PATTERNS = [
     r"\bbaseline\b",
     r"\bday [0-9]+\b",
 ]
-_AMOUNT = r"\s*(?:=|of|:)?\s*[0-9]+(?:\.[0-9]+)?"
-_INTERVAL = r"(?:\s*\([^)]+\))?"
-_P_VALUE = r"(?:\s*,?\s*p\s*[<=>]\s*0?\.[0-9]+)?"
+# Patterns of effects and of performance.
 EFFECT_PATTERNS = [
-    r"\b(?:OR|odds ratio)" + _AMOUNT + _INTERVAL + _P_VALUE,
-    r"\b(?:HR|hazard ratio)" + _AMOUNT + _INTERVAL + _P_VALUE,
-    r"\b(?:RR|relative risk|risk ratio)" + _AMOUNT + _INTERVAL,
+    r"\b(?:OR|odds ratio)\s*(?:=|of|:)?\s*[0-9]+(?:\.[0-9]+)?(?:\s*\([^)]+\))?(?:\s*,?\s*p\s*[<=>]\s*0?\.[0-9]+)?",
+    r"\b(?:HR|hazard ratio)\s*(?:=|of|:)?\s*[0-9]+(?:\.[0-9]+)?(?:\s*\([^)]+\))?(?:\s*,?\s*p\s*[<=>]\s*0?\.[0-9]+)?",
+    r"\b(?:RR|relative risk|risk ratio)\s*(?:=|of|:)?\s*[0-9]+(?:\.[0-9]+)?(?:\s*\([^)]+\))?",
     r"\bcut[- ]?off(?: value)?\s*(?:=|of|:)?\s*[<>]?\s*[0-9]+(?:\.[0-9]+)?(?:\s*[x×]\s*10\^?[0-9]+)?",
 ]
 PERFORMANCE_PATTERNS = [
-    r"\b(?:AUC|AUROC)\s*(?:=|of|:)?\s*0?\.[0-9]{2,3}" + _INTERVAL,
-    r"\barea under (?:the )?(?:ROC |receiver operating characteristic )?curve\s*(?:=|of|:)?\s*0?\.[0-9]{2,3}" + _INTERVAL,
+    r"\b(?:AUC|AUROC)\s*(?:=|of|:)?\s*0?\.[0-9]{2,3}(?:\s*\([^)]+\))?",
+    r"\barea under (?:the )?(?:ROC |receiver operating characteristic )?curve\s*(?:=|of|:)?\s*0?\.[0-9]{2,3}(?:\s*\([^)]+\))?",
     r"\bsens(?:itivity)?\s*(?:=|:)?\s*[0-9]+(?:\.[0-9]+)?%?",
     r"\bspec(?:ificity)?\s*(?:=|:)?\s*[0-9]+(?:\.[0-9]+)?%?",
 ]

@@ -1,8 +1,10 @@
-"""Anchors: the sentences that a value comes from, the passage they stand in, and a link to the page."""
+"""Anchors: the sentences that a value comes from, the passage they stand in, a link to the page, and the file of a row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import os
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions.text import array_of, collapsed, let, sentences, tokens
@@ -83,8 +85,47 @@ def page_of(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) < 2147483648.0), number.cast("int"))
 
 
-def source_link(path: Column, file: Column, page: Column) -> Column:
-    """A file link with a page fragment; page 0 and unknown pages have none; MISSING without a path."""
-    where = F.coalesce(F.nullif(path, F.lit("")), F.when((file != "") & (file != MISSING), F.concat(F.lit("articles/"), file)))
+def absolute(path: Column) -> Column:
+    """A path without its file scheme, from the root; a relative one belongs to the folder the program runs in. Other schemes stay."""
+    bare = F.regexp_replace(path, "^file:/*", "/")
+    return F.when(bare.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:/)"), bare).otherwise(F.concat(F.lit(os.getcwd().rstrip("/") + "/"), bare))
+
+
+def file_uri(path: Column) -> Column:
+    """An absolute path as a URI, percent-encoded; a path of another scheme as it is."""
+    encoded = F.url_encode(path)
+    for form, char in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(form), F.lit(char))
+    return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("file://"), encoded)).otherwise(path)
+
+
+def source_link(path: Column, page: Column) -> Column:
+    """A link to a page of a file that exists; page 0 and unknown pages have no fragment; MISSING without a path."""
     number = page_of(page)
-    return F.coalesce(F.concat(F.lit("file://"), where, F.when(F.coalesce(number, F.lit(0)) != 0, F.concat(F.lit("#page="), number)).otherwise("")), F.lit(MISSING))
+    fragment = F.when(F.coalesce(number, F.lit(0)) != 0, F.concat(F.lit("#page="), number)).otherwise("")
+    return F.coalesce(F.concat(file_uri(absolute(F.nullif(path, F.lit("")))), fragment), F.lit(MISSING))
+
+
+def pdf_candidates(link: Column, file: Column, study: Column, folder: str) -> Column:
+    """Where a row's file may be, first choice first: its file link, its source_file as a path, that and the study's name (with .pdf) in the articles folder."""
+    named = lambda c: F.when((c != "") & (c != MISSING), c)
+    within = lambda c: F.when(F.startswith(c, F.lit("/")), c).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), c))
+    encoded = F.replace(F.regexp_extract(link, "^file://[^/]*(/[^?#]*)", 1), F.lit("+"), F.lit("%2B"))
+    linked = F.when(F.startswith(link, F.lit("file://")), F.nullif(F.coalesce(F.try_url_decode(encoded), encoded), F.lit("")))
+    by_study = within(named(study))
+    return F.array_compact(F.array(linked, absolute(named(file)), within(named(file)), by_study, F.when(~F.endswith(F.lower(study), F.lit(".pdf")), F.concat(by_study, F.lit(".pdf")))))
+
+
+def with_pdf(rows: DataFrame, files: DataFrame, folder: str = "articles") -> DataFrame:
+    """rows with pdf_path, the first candidate among the known files (one column of paths); null if none is.
+
+    Rows meet the files by the few columns that name one, each combination once.
+    """
+    folder = folder if "://" in folder or folder.startswith("/") else os.path.abspath(folder)
+    names = ["source_link", "source_file", "study_name"]
+    known = files.select(absolute(files[files.columns[0]]).alias("_path")).distinct()
+    asked = rows.select(*(F.col(n).alias(f"_{n}") for n in names)).distinct()
+    tried = asked.select("*", F.posexplode(pdf_candidates(*(F.col(f"_{n}") for n in names), folder)).alias("_place", "_path"))
+    found = tried.join(known, "_path").groupBy(*(f"_{n}" for n in names)).agg(F.min_by("_path", "_place").alias("pdf_path"))
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return rows.join(found, same[0] & same[1] & same[2], "left").drop(*(f"_{n}" for n in names))

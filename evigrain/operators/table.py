@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.functions.stages import settled
-from evigrain.operators.provenance import page_of, source_link
+from evigrain.functions.text import trimmed
+from evigrain.operators.provenance import page_of, with_pdf
 from evigrain.operators.scoring import expand, row_relevance
 from evigrain.operators.validate import sources_map, with_support
 from evigrain.schemas import EVIDENCE_COLUMNS, LEGACY, MISSING, NOT_INDEXED, SOURCE_FIELDS, VISIBLE_COLUMNS
@@ -16,28 +17,29 @@ from evigrain.schemas import EVIDENCE_COLUMNS, LEGACY, MISSING, NOT_INDEXED, SOU
 TIES = ("source_file", "source_passage_id", "source_anchor", "effect_size", "performance")
 
 
-def repair(table: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def repair(table: DataFrame, files: DataFrame | None = None, folder: str = "articles") -> DataFrame:
     """A table of any age in today's form: columns completed, links and field sources made, rows without a status validated.
 
-    A table in which every source_file is the sentinel (a null cell is not) takes its file names from study_name.
-    paths: (file, path) of known files; a file outside it links to its place in the articles folder.
+    Of source_file, source_page and source_passage_id each column that holds nothing but the sentinel (a null cell
+    is not one) is filled anew, the first from study_name.  files: paths of the files that exist; a row whose file is
+    among them links to its published copy, another keeps a link to the web and has none otherwise.
     """
     rows = table.withColumns({c: F.lit(MISSING) for c in EVIDENCE_COLUMNS if c not in table.columns})
-    legacy = rows.agg(F.coalesce(F.bool_and(F.coalesce(F.col("source_file") == MISSING, F.lit(False))), F.lit(False)).alias("_legacy"))
-    rows = rows.crossJoin(F.broadcast(legacy))  # one row on that side
-    old = F.col("_legacy")
-    rows = rows.withColumns({"source_file": F.when(old, F.col("study_name")).otherwise(F.col("source_file")), "source_page": F.when(old, NOT_INDEXED).otherwise(F.col("source_page").cast("string")), "source_passage_id": F.when(old, LEGACY).otherwise(F.col("source_passage_id"))}).drop("_legacy")
+    anew = {"source_file": F.col("study_name"), "source_page": F.lit(NOT_INDEXED), "source_passage_id": F.lit(LEGACY)}
+    empty = rows.agg(*(F.coalesce(F.bool_and(F.coalesce(F.col(c) == MISSING, F.lit(False))), F.lit(False)).alias(f"_no_{c}") for c in anew))
+    rows = rows.crossJoin(F.broadcast(empty))  # one row on that side
+    rows = rows.withColumns({c: F.when(F.col(f"_no_{c}"), new).otherwise(F.col(c).cast("string")) for c, new in anew.items()}).drop(*(f"_no_{c}" for c in anew))
     filled = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in EVIDENCE_COLUMNS[:-1]})
-    path = F.lit(None).cast("string")
-    if paths is not None:
-        filled, path = filled.join(paths.select(F.col("file").alias("_file"), F.col("path").alias("_path")), F.col("source_file") == F.col("_file"), "left").drop("_file"), F.col("_path")
-    filled = settled(filled, {"source_link": source_link(path, F.col("source_file"), F.col("source_page"))})
-    own = F.map_from_entries(F.array_compact(F.array(*(F.when((F.col(f) != "") & (F.col(f) != MISSING), F.struct(F.lit(f).alias("key"), F.col("source_anchor").alias("value"))) for f in SOURCE_FIELDS))))
-    filled = filled.withColumn("field_sources_json", F.when(F.col("field_sources_json").isin("", MISSING) & (F.col("source_anchor") != ""), F.to_json(own)).otherwise(F.col("field_sources_json")))
+    filled = with_pdf(filled, files, folder) if files is not None else filled.withColumn("pdf_path", F.lit(None).cast("string"))
+    kept = F.when((F.col("source_link") != "") & ~F.startswith("source_link", F.lit("file://")), F.col("source_link")).otherwise(MISSING)
+    filled = settled(filled, {"source_link": F.coalesce(published_link(F.col("pdf_path"), F.col("source_page")), kept)})
+    anchor = trimmed(F.col("source_anchor"))
+    own = F.map_from_entries(F.array_compact(F.array(*(F.when(~trimmed(F.col(f)).isin("", MISSING), F.struct(F.lit(f).alias("key"), anchor.alias("value"))) for f in SOURCE_FIELDS))))
+    filled = filled.withColumn("field_sources_json", F.when(F.col("field_sources_json").isin("", MISSING) & (anchor != ""), F.to_json(own)).otherwise(F.col("field_sources_json")))
     again = F.col("support_status").isin("", MISSING, "legacy anchor")
     before = filled.withColumns({"_status": F.col("support_status"), "_notes": F.col("support_notes"), "_again": again})
     checked = with_support(before)
-    return checked.withColumns({"support_status": F.when(F.col("_again"), F.col("support_status")).otherwise(F.col("_status")), "support_notes": F.when(F.col("_again"), F.col("support_notes")).otherwise(F.col("_notes"))}).drop("_status", "_notes", "_again", "_path")
+    return checked.withColumns({"support_status": F.when(F.col("_again"), F.col("support_status")).otherwise(F.col("_status")), "support_notes": F.when(F.col("_again"), F.col("support_notes")).otherwise(F.col("_notes"))}).drop("_status", "_notes", "_again", "pdf_path")
 
 
 def in_order(table: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def card(ranked: DataFrame) -> DataFrame:
     escaped = F.col("source_anchor")
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         escaped = F.replace(escaped, F.lit(char), F.lit(name))
-    return ranked.select(F.concat_ws(" · ", "study_name", "source_file", "source_page").alias("title"), "source_link", escaped.alias("quote_html"), "support_status", "support_notes")
+    return ranked.select(F.concat_ws(" | ", "study_name", "source_file", F.concat(F.lit("page "), "source_page")).alias("title"), "source_link", escaped.alias("quote_html"), "support_status", "support_notes")
 
 
 def static_name(path: Column) -> Column:

@@ -43,6 +43,7 @@ def with_support(rows: DataFrame) -> DataFrame:
     weak = F.array_join(F.array_compact(F.array(*(F.when(~F.col("_ok")[f], F.lit(f)) for f in CHECKED_FIELDS))), ", ")
     none = (F.col("_anchor") == "") | (F.col("_anchor") == MISSING)
     status = F.when(none, "unsupported").when(F.col("_checked") == 0, "needs review").when(F.col("_good") == F.col("_checked"), "supported").when(F.col("_good") > 0, "partial").otherwise("needs review")
+    # The notes of each status.
     notes = (
         F.when(none, "No source anchor was extracted.")
         .when(F.col("_checked") == 0, "Only missing values were extracted.")
@@ -69,7 +70,7 @@ def normalise_rows(rows: DataFrame, question: str) -> DataFrame:
     given = lambda c, other: F.when(F.col(c) == MISSING, other).otherwise(F.col(c))
     rows = settled(rows, {"source_file": given("source_file", F.col("_from.source_file")), "source_page": given("source_page", F.coalesce(F.col("_from.page_number").cast("string"), F.lit(MISSING))), "source_passage_id": given("source_passage_id", F.col("_from.passage_id"))})
     blank = lambda c: F.coalesce(F.col(c).isin("", MISSING), F.lit(True))
-    link = source_link(F.col("_from.source_path"), F.coalesce(F.nullif(F.col("source_file"), F.lit("")), F.col("_from.source_file")), F.coalesce(F.col("source_page"), F.col("_from.page_number").cast("string")))
+    link = source_link(F.col("_from.source_path"), F.coalesce(F.col("source_page"), F.col("_from.page_number").cast("string")))
     json = F.to_json(field_sources(F.col("_text"), F.col("source_anchor"), {f: F.col(f) for f in ("population", *CHECKED_FIELDS)}))
     rows = settled(rows, {"source_link": F.when(blank("source_link"), link).otherwise(F.col("source_link")), "field_sources_json": F.when(blank("field_sources_json"), json).otherwise(F.col("field_sources_json"))})
     rows = with_support(rows).withColumn("query_relevance_score", F.coalesce(F.array_max(F.transform("passages", lambda p: p["score"])), F.lit(0.0)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from evigrain import lexicon as lex
 from evigrain.lexicon import DEFAULT_QUESTION
 from evigrain.operators.scoring import expand
-from evigrain.schemas import CHECKED_FIELDS, EVIDENCE_COLUMNS, VISIBLE_COLUMNS
+from evigrain.schemas import CHECKED_FIELDS, EVIDENCE_COLUMNS, SOURCE_FIELDS, VISIBLE_COLUMNS
 
 SPACE = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TERMS = expand(DEFAULT_QUESTION)
@@ -159,14 +159,35 @@ def _anchor() -> str:
     SELECT source_file, nullif({collapsed('substring(win, 1, 700)')}, '') AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, i) AS n FROM s3) WHERE n = 1"""
 
 
-def _field_anchor() -> str:
+def _value_windows(values: str) -> str:
+    """CTEs over v(source_file, joined, field, value) that end in `fa`: the best window of each value."""
     number = r"'\d+(?:\.\d+)?'"
-    return f"""WITH {STUDIES}, v AS (SELECT source_file, joined, {fields('text')['population']} AS value FROM c),
-    q AS (SELECT *, regexp_extract_all(value, {number}) AS nums, list_distinct(list_filter({tokens('value')}, lambda w: length(w) > 2 AND NOT list_contains({listed(lex.STOPWORDS)}, w))[1:10]) AS ws, {sentences('joined')} AS ss FROM v),
-    f1 AS (SELECT source_file, value, nums, ws, unnest({windows('ss')}) AS win, unnest(range(1, len(ss) + 1)) AS i FROM q),
-    z AS (SELECT *, len(list_filter(nums, lambda n: contains(win, n))) * 3 + len(list_filter(ws, lambda w: contains(lower(win), w))) + CASE WHEN contains(lower(win), lower(value)) THEN 8 ELSE 0 END AS score FROM f1 WHERE value IS NOT NULL),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, i) AS n FROM z) WHERE n = 1)
-    SELECT c.source_file, nullif({collapsed('substring(win, 1, 700)')}, '') AS anchor FROM c LEFT JOIN b USING (source_file)"""
+    return f"""v AS ({values}),
+    fq AS (SELECT *, regexp_extract_all(value, {number}) AS nums, list_distinct(list_filter({tokens('value')}, lambda w: length(w) > 2 AND NOT list_contains({listed(lex.STOPWORDS)}, w))[1:10]) AS ws, {sentences('joined')} AS ss FROM v WHERE value IS NOT NULL),
+    f1 AS (SELECT source_file, field, value, nums, ws, unnest({windows('ss')}) AS win, unnest(range(1, len(ss) + 1)) AS i FROM fq),
+    fz AS (SELECT *, len(list_filter(nums, lambda n: contains(win, n))) * 3 + len(list_filter(ws, lambda w: contains(lower(win), w))) + CASE WHEN contains(lower(win), lower(value)) THEN 8 ELSE 0 END AS score FROM f1),
+    fa AS (SELECT source_file, field, nullif({collapsed('substring(win, 1, 700)')}, '') AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY source_file, field ORDER BY score DESC, i) AS n FROM fz) WHERE n = 1)"""
+
+
+def _field_anchor() -> str:
+    return f"""WITH {STUDIES}, {_value_windows(f"SELECT source_file, joined, 'population' AS field, {fields('text')['population']} AS value FROM c")}
+    SELECT c.source_file, anchor FROM c LEFT JOIN fa USING (source_file)"""
+
+
+def _every_field() -> str:
+    return " UNION ALL ".join(f"SELECT source_file, joined, '{n}' AS field, {x} AS value FROM c" for n, x in fields("text").items())
+
+
+def _evidence_rows() -> str:
+    f = fields("text")
+    made = ", ".join(f"coalesce({x}, 'Not reported') AS {n}" for n, x in f.items())
+    return f"""{_anchor().rsplit('SELECT source_file, nullif', 1)[0]}, an AS (SELECT source_file, nullif{_anchor().rsplit('SELECT source_file, nullif', 1)[1]}), {_value_windows(_every_field()).replace('v AS (', 'fv AS (', 1).replace('FROM v WHERE', 'FROM fv WHERE')},
+    js AS (SELECT source_file, json_group_object(field, anchor) AS field_sources_json FROM fa GROUP BY source_file),
+    mp AS (SELECT k.source_file, passage_id, page_number, source_path, row_number() OVER (PARTITION BY k.source_file ORDER BY CASE WHEN contains(lower(coalesce(k.text, '')), lower(coalesce(an.anchor, ''))) THEN 0 ELSE 1 END, rank) AS n, max(score) OVER (PARTITION BY k.source_file) AS top FROM k JOIN an USING (source_file)),
+    ev AS (SELECT regexp_replace(c.source_file, '([^/])\\.[^./]*$', '\\1') AS study_name, {made}, {lit(lex.FALLBACK_NOTE)} AS notes, c.source_file, coalesce(CAST(mp.page_number AS VARCHAR), 'Not reported') AS source_page, mp.passage_id AS source_passage_id,
+      {_uri('mp.source_path', 'mp.page_number')} AS source_link, coalesce(an.anchor, '') AS source_anchor, coalesce(js.field_sources_json, '{{}}') AS field_sources_json, {lit(DEFAULT_QUESTION)} AS query, mp.top AS query_relevance_score
+      FROM c JOIN an USING (source_file) JOIN mp ON mp.source_file = c.source_file AND mp.n = 1 LEFT JOIN js ON js.source_file = c.source_file WHERE c.text <> ''), {validated('ev')}
+    SELECT {', '.join(f"coalesce(nullif({c}, ''), 'Not reported') AS {c}" for c in TEXT_COLUMNS if c not in ('field_sources_json', 'support_status', 'support_notes'))}, new_status AS support_status, new_notes AS support_notes, query_relevance_score FROM vv"""
 
 
 def _anchor_passages() -> str:
@@ -175,7 +196,23 @@ def _anchor_passages() -> str:
     SELECT source_file, passage_id FROM m WHERE n = 1"""
 
 
-_LINK = "CASE WHEN source_file <> '' AND source_file <> 'Not reported' THEN 'file://articles/' || source_file || CASE WHEN pg IS NOT NULL AND pg <> 0 THEN '#page=' || pg ELSE '' END ELSE 'Not reported' END"
+def _uri(path: str, page: str) -> str:
+    return f"CASE WHEN nullif({path}, '') IS NULL THEN 'Not reported' ELSE 'file://' || replace(url_encode({path}), '%2F', '/') || CASE WHEN coalesce({page}, 0) <> 0 THEN '#page=' || {page} ELSE '' END END"
+
+
+KNOWN = "kf AS (SELECT DISTINCT file_path AS path FROM page_document WHERE file_path IS NOT NULL)"
+FOLDER = "/srv/atlas/articles/"
+
+
+def resolved(source: str) -> str:
+    """The first of a row's five places that is a known file, as `pdf_path`."""
+    link = "CASE WHEN source_link LIKE 'file://%' THEN url_decode(regexp_extract(source_link, '^file://[^/]*(/[^?#]*)', 1)) END"
+    inside = lambda c: f"CASE WHEN {c} NOT IN ('', 'Not reported') THEN CASE WHEN {c} LIKE '/%' THEN {c} ELSE '{FOLDER}' || {c} END END"
+    places = [link, "CASE WHEN source_file LIKE '/%' THEN source_file END", inside("source_file"), inside("study_name"), f"CASE WHEN lower(study_name) NOT LIKE '%.pdf' THEN {inside('study_name')} || '.pdf' END"]
+    return f"{KNOWN}, pd AS (SELECT *, coalesce({', '.join(f'(SELECT path FROM kf WHERE path = {p})' for p in places)}) AS pdf_path FROM {source})"
+
+
+_STATIC = """coalesce(nullif(substring(regexp_replace(substring(name, 1, length(name) - length(suffix)), '[^\\p{L}\\p{N}._-]', '_', 'g'), 1, 90), ''), 'source') || '-' || substring(sha1(path), 1, 12) || CASE WHEN lower(suffix) = '.pdf' THEN suffix ELSE '.pdf' END"""
 _PAGE = "CASE WHEN isfinite(try_cast({0} AS DOUBLE)) AND abs(try_cast({0} AS DOUBLE)) < 2147483648 THEN CAST(trunc(try_cast({0} AS DOUBLE)) AS INTEGER) END"
 
 
@@ -227,11 +264,22 @@ ORACLE: dict[str, str] = {
     "sentence_window_anchor": _anchor(),
     "field_anchor": _field_anchor(),
     "anchor_passages": _anchor_passages(),
-    "source_links": f"WITH {ROWS}, x AS (SELECT row_id, source_file, {_PAGE.format('source_page')} AS pg FROM r) SELECT DISTINCT row_id, {_LINK} AS link FROM x",
+    "field_source_anchors": f"WITH {STUDIES}, {_value_windows(_every_field())} SELECT source_file, field, anchor FROM fa",
+    "evidence_rows": _evidence_rows(),
+    "resolve_pdf": f"""WITH {ROWS}, d AS (SELECT row_id, CASE WHEN row_id % 5 IN (0, 4) THEN source_link ELSE 'Not reported' END AS source_link, CASE row_id % 5 WHEN 1 THEN '{FOLDER}' || source_file WHEN 2 THEN source_file ELSE 'Not reported' END AS source_file,
+      CASE row_id % 5 WHEN 3 THEN regexp_replace(source_file, '\\.pdf$', '') WHEN 4 THEN 'unknown' ELSE study_name END AS study_name FROM r), {resolved('d')} SELECT row_id, pdf_path FROM pd""",
+    "source_links": f"WITH {ROWS}, x AS (SELECT row_id, source_file, {_PAGE.format('source_page')} AS pg, 'Not reported' AS source_link, 'Not reported' AS study_name FROM r), {resolved('x')} SELECT DISTINCT row_id, {_uri('pdf_path', 'pg')} AS link FROM pd",
     "validate_support": f"WITH {ROWS}, {validated('r')} SELECT DISTINCT row_id, new_status AS support_status, new_notes AS support_notes FROM vv",
+    "repair_table": f"""WITH {ROWS}, d AS (SELECT * REPLACE (CASE WHEN support_status = 'partial' THEN 'legacy anchor' ELSE support_status END AS support_status, CASE WHEN row_id % 7 = 0 THEN 'https://example.org/' || source_file ELSE source_link END AS source_link,
+      CASE WHEN row_id % 3 = 0 THEN 'Not reported' ELSE source_file END AS source_file, CASE WHEN row_id % 3 = 0 THEN 'Not reported' ELSE study_name END AS study_name) FROM r), {resolved('d')},
+      nm AS (SELECT *, regexp_extract(pdf_path, '[^/]*$') AS name, pdf_path AS path, {_PAGE.format('source_page')} AS pg, {stripped('source_anchor')} AS own FROM pd), sx AS (SELECT *, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS suffix FROM nm),
+      ln AS (SELECT * REPLACE (CASE WHEN path IS NOT NULL THEN '/app/static/source_pdfs/' || url_encode({_STATIC}) || coalesce('#page=' || pg, '') WHEN source_link <> '' AND source_link NOT LIKE 'file://%' THEN source_link ELSE 'Not reported' END AS source_link,
+        CASE WHEN field_sources_json IN ('', 'Not reported') AND own <> '' THEN CAST(json_merge_patch('{{}}', {', '.join(f"CASE WHEN {stripped(f)} NOT IN ('', 'Not reported') THEN json_object('{f}', own) ELSE '{{}}' END" for f in SOURCE_FIELDS)}) AS VARCHAR) ELSE field_sources_json END AS field_sources_json) FROM sx), {validated('ln')}
+      SELECT DISTINCT row_id, source_file, source_page, 'Legacy CSV' AS source_passage_id, source_link, CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(list_sort(json_keys(j)), ',') ELSE '' END AS fields,
+        CASE WHEN support_status IN ('', 'Not reported', 'legacy anchor') THEN new_status ELSE support_status END AS support_status FROM vv""",
     "repair_legacy_table": f"""WITH {ROWS}, o AS (SELECT row_id, study_name AS source_file, source_anchor, predictor, outcome, {', '.join(f"'Not reported' AS {f}" for f in CHECKED_FIELDS if f not in ('predictor', 'outcome'))},
       CASE WHEN predictor <> 'Not reported' OR outcome <> 'Not reported' THEN json_object('predictor', source_anchor) ELSE '{{}}' END AS old_json, '{{}}' AS field_sources_json FROM r), {validated('o')}
-      SELECT DISTINCT row_id, source_file, 'Not indexed' AS source_page, 'Legacy CSV' AS source_passage_id, CASE WHEN source_file <> 'Not reported' THEN 'file://articles/' || source_file ELSE 'Not reported' END AS source_link, new_status AS support_status FROM vv""",
+      SELECT DISTINCT row_id, source_file, 'Not indexed' AS source_page, 'Legacy CSV' AS source_passage_id, 'Not reported' AS source_link, new_status AS support_status FROM vv""",
     "rank_rows": f"WITH {ROWS}, {_relevant()} SELECT row_id, relevance, support_status FROM k",
     "rank_rows_fallback": f"WITH {ROWS}, h AS (SELECT row_id, {_HIDDEN}, query_relevance_score FROM r), {_relevant('h', expand('zzyzx qwxv'))} SELECT row_id, relevance FROM k",
     "facet_options": f"WITH {ROWS} SELECT DISTINCT support_status AS value FROM r WHERE trim(support_status) <> '' AND support_status <> 'Not reported' UNION ALL SELECT DISTINCT method FROM r WHERE trim(method) <> '' AND method <> 'Not reported'",
@@ -243,10 +291,9 @@ ORACLE: dict[str, str] = {
     "field_source_groups": f"""WITH {ROWS}, j AS (SELECT row_id, {STRICT_JSON} AS j FROM r), o AS (SELECT row_id, j, json_keys(j) AS ks FROM j WHERE json_type(j) = 'OBJECT'),
       e AS (SELECT row_id, unnest(ks) AS field, unnest(range(1, len(ks) + 1)) AS pos, j FROM o), f AS (SELECT row_id, field, pos, json_extract_string(j, '$."' || field || '"') AS source FROM e)
       SELECT row_id, source, string_agg(field, ', ' ORDER BY pos) AS fields FROM f WHERE source <> '' GROUP BY row_id, source""",
-    "source_cards": f"""WITH {ROWS} SELECT DISTINCT concat_ws(' · ', study_name, source_file, source_page) AS title, source_link, replace(replace(replace(replace(replace(source_anchor, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS quote_html, support_status, support_notes FROM r""",
+    "source_cards": f"""WITH {ROWS} SELECT DISTINCT study_name || ' | ' || source_file || ' | page ' || source_page AS title, source_link, replace(replace(replace(replace(replace(source_anchor, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS quote_html, support_status, support_notes FROM r""",
     "static_names": f"""WITH {PAGES}, n AS (SELECT DISTINCT file_path, regexp_extract(file_path, '[^/]*$') AS name FROM g WHERE file_path IS NOT NULL), x AS (SELECT *, regexp_extract(name, '[^.](\\.[^.]+)$', 1) AS suffix FROM n)
       SELECT file_path, coalesce(nullif(substring(regexp_replace(substring(name, 1, length(name) - length(suffix)), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g'), 1, 90), ''), 'source') || '-' || substring(sha1(file_path), 1, 12) || CASE WHEN lower(suffix) = '.pdf' THEN suffix ELSE '.pdf' END AS static_name FROM x""",
-    "vision_gate": f"WITH {PAGES} SELECT page_id, length(trim(coalesce(text, ''))) < 500 OR coalesce(embedded_image_count, 0) > 0 AS wanted FROM g",
-    "audit_trail": f"""WITH {ranked(8)} SELECT source_file, page_number AS source_page, passage_id AS source_passage_id,
-      CASE WHEN coalesce(nullif(source_path, ''), nullif(source_file, '')) IS NULL THEN 'Not reported' ELSE 'file://' || coalesce(nullif(source_path, ''), 'articles/' || source_file) || CASE WHEN coalesce(page_number, 0) <> 0 THEN '#page=' || page_number ELSE '' END END AS source_link, score, text FROM k""",
+    "vision_gate": f"WITH {PAGES} SELECT page_id, length({stripped("coalesce(text, '')")}) < 500 OR coalesce(embedded_image_count, 0) > 0 AS wanted FROM g",
+    "audit_trail": f"WITH {ranked(8)} SELECT source_file, page_number AS source_page, passage_id AS source_passage_id, {_uri('source_path', 'page_number')} AS source_link, score, text FROM k",
 }

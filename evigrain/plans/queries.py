@@ -13,19 +13,21 @@ from evigrain.lexicon import DEFAULT_QUESTION
 from evigrain.operators import extract, retrieve
 from evigrain.operators import table as evidence
 from evigrain.operators.packed import split_packed
-from evigrain.operators.provenance import anchor_passage, best_anchor, source_link, value_anchor
+from evigrain.operators.provenance import anchor_passage, best_anchor, field_sources, source_link, value_anchor, with_pdf
 from evigrain.operators.scoring import expand, expand_column
 from evigrain.operators.segment import segment
-from evigrain.operators.validate import with_support
+from evigrain.operators.validate import sources_map, with_support
 from evigrain.plans.atlas import build
 from evigrain.plans.tables import delivered_once, small_rows, table, term_names
 from evigrain.schemas import EVIDENCE_COLUMNS, MISSING, PAGE
+from evigrain.sources.backends import regex_rows
 from evigrain.sources.pages import wants_vision
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TERMS = expand(DEFAULT_QUESTION)
 UNKNOWN_QUESTION = "zzyzx qwxv"
+ARTICLES = "/srv/atlas/articles"  # the folder that the pages of the test tables come from
 PAGE_COLUMNS = ["page_id", *PAGE.fieldNames()]
 PASSAGE_COLUMNS = ["passage_id", "source_file", "source_path", "page_number", "chunk_index", "text"]
 
@@ -152,9 +154,45 @@ def anchor_passages(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("source_file", anchor_passage(F.col("quote"), F.col("passages"))["passage_id"].alias("passage_id"))
 
 
+@query
+def field_source_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """The window that each field of every study comes from."""
+    found = extract.fields(F.col("text"), TERMS)
+    s = settled(studies(spark, folder), {n: F.coalesce(c, F.lit(MISSING)) for n, c in found.items()})
+    anchors = field_sources(retrieve.joined_text(F.col("passages"), " "), F.lit(MISSING), {n: F.col(n) for n in found})
+    return s.select("source_file", F.explode(anchors).alias("field", "anchor"))
+
+
+@query
+def evidence_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The evidence row of every study: fields, anchor, source passage, support, in order."""
+    made = regex_rows(retrieve.contexts(ranked(spark, folder)), DEFAULT_QUESTION)
+    return evidence.in_order(made).select(*(c for c in EVIDENCE_COLUMNS if c != "field_sources_json"))
+
+
+def known_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that pages were read from."""
+    return table(spark, folder, "page_document").select("file_path").where("file_path is not null").distinct()
+
+
+@query
+def resolve_pdf(spark: SparkSession, folder: str) -> DataFrame:
+    """The file of each row by every way to name one: a row loses its link, its file or both, by the last digit of its id."""
+    kept, last = rows(spark, folder), F.col("row_id") % 5
+    stem = F.regexp_replace("source_file", r"\.pdf$", "")
+    some = kept.select(
+        "row_id",
+        F.when(last.isin(0, 4), F.col("source_link")).otherwise(MISSING).alias("source_link"),
+        F.when(last == 1, F.concat(F.lit(ARTICLES + "/"), "source_file")).when(last == 2, F.col("source_file")).otherwise(MISSING).alias("source_file"),
+        F.when(last == 3, stem).when(last == 4, F.lit("unknown")).otherwise(F.col("study_name")).alias("study_name"),
+    )
+    return with_pdf(some, known_files(spark, folder), ARTICLES).select("row_id", "pdf_path")
+
+
 @query
 def source_links(spark: SparkSession, folder: str) -> DataFrame:
-    return rows(spark, folder).select("row_id", source_link(F.lit(None).cast("string"), F.col("source_file"), F.col("source_page")).alias("link")).distinct()
+    named = rows(spark, folder).select("row_id", "source_file", "source_page", F.lit(MISSING).alias("source_link"), F.lit(MISSING).alias("study_name"))
+    return with_pdf(named, known_files(spark, folder), ARTICLES).select("row_id", source_link(F.col("pdf_path"), F.col("source_page")).alias("link")).distinct()
 
 
 @query
@@ -165,8 +203,10 @@ def validate_support(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def repair_table(spark: SparkSession, folder: str) -> DataFrame:
     """The table repaired, rows without a status validated."""
-    kept = rows(spark, folder).withColumn("support_status", F.when(F.col("support_status") == "partial", "legacy anchor").otherwise(F.col("support_status")))
-    return evidence.repair(kept).select("row_id", "source_file", "source_page", "source_link", "field_sources_json", "support_status").distinct()
+    web = F.when(F.col("row_id") % 7 == 0, F.concat(F.lit("https://example.org/"), "source_file")).otherwise(F.col("source_link"))
+    gone = F.when(F.col("row_id") % 3 == 0, MISSING)
+    kept = rows(spark, folder).withColumns({"support_status": F.when(F.col("support_status") == "partial", "legacy anchor").otherwise(F.col("support_status")), "source_link": web, "source_file": F.coalesce(gone, "source_file"), "study_name": F.coalesce(gone, "study_name"), "source_passage_id": F.lit(MISSING)})
+    return evidence.repair(kept, known_files(spark, folder), ARTICLES).select("row_id", "source_file", "source_page", "source_passage_id", "source_link", F.array_join(F.array_sort(F.map_keys(sources_map(F.col("field_sources_json")))), ",").alias("fields"), "support_status").distinct()
 
 
 @query

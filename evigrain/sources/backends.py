@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.error
+import urllib.request
 from collections.abc import Iterator, Mapping
 from pathlib import Path
 from typing import NamedTuple, Protocol
@@ -22,7 +24,11 @@ from evigrain.operators.validate import normalise_rows
 from evigrain.schemas import EXTRACTED_FIELDS, MISSING
 
 BACKENDS = ("llm", "regex", "auto")
-PLACEHOLDERS = ("your_openrouter_key_here", "your_openai_key_here", "your_api_key_here")  # fixed values
+# What stands in a configuration where a key is missing; the service used by default and who asks it.
+PLACEHOLDERS = ("replace_with_your_openrouter_api_key", "your_openrouter_api_key", "sk-or-v1-your-key-here")
+ROUTER, VENDOR, REFERER = "https://openrouter.ai/api/v1", "https://api.openai.com/v1", "http://localhost:8501"
+TITLE = "evigrain"
+SYSTEM = "You extract evidence from clinical studies and answer in JSON that is grounded in the sources."
 
 
 def load_env(path: str = ".env") -> None:
@@ -40,7 +46,7 @@ def usable(secret: str | None) -> bool:
 
 class Service(NamedTuple):
     key: str
-    base_url: str | None
+    base_url: str
     headers: Mapping[str, str]
 
 
@@ -48,9 +54,22 @@ def service(env: Mapping[str, str] | None = None) -> Service | None:
     """The service whose key is set, the router before the vendor; None without a usable key."""
     env = os.environ if env is None else env
     if usable(env.get("OPENROUTER_API_KEY")):
-        headers = {h: v for h, v in (("HTTP-Referer", env.get("OPENROUTER_SITE_URL", "")), ("X-Title", env.get("OPENROUTER_APP_NAME", ""))) if v}
-        return Service(env["OPENROUTER_API_KEY"].strip(), env.get("OPENROUTER_BASE_URL", "https://openrouter.ai/api/v1"), headers)
-    return Service(env["OPENAI_API_KEY"].strip(), None, {}) if usable(env.get("OPENAI_API_KEY")) else None
+        headers = {"HTTP-Referer": env.get("OPENROUTER_HTTP_REFERER", REFERER), "X-Title": env.get("OPENROUTER_APP_TITLE", TITLE)}
+        return Service(env["OPENROUTER_API_KEY"], env.get("OPENROUTER_BASE_URL", ROUTER), headers)
+    return Service(env["OPENAI_API_KEY"], env.get("OPENAI_BASE_URL") or VENDOR, {}) if usable(env.get("OPENAI_API_KEY")) else None
+
+
+def chat(service: Service, model: str, messages: list[dict], as_json: bool = False, timeout: float = 600.0) -> str:
+    """The answer of a chat completion at temperature 0; an error carries the service's status and words."""
+    body = {"model": model, "temperature": 0, "messages": messages} | ({"response_format": {"type": "json_object"}} if as_json else {})
+    headers = {"Authorization": f"Bearer {service.key}", "Content-Type": "application/json", **service.headers}
+    request = urllib.request.Request(service.base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), headers)
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            said = json.load(reply)
+    except urllib.error.HTTPError as e:
+        raise RuntimeError(f"Error {e.code}: {e.read().decode(errors='replace')[:2000]}") from e
+    return said["choices"][0]["message"].get("content") or ""
 
 
 class Extractor(Protocol):
@@ -59,6 +78,18 @@ class Extractor(Protocol):
     def __call__(self, prompt: str) -> str: ...
 
 
+class Chat:
+    """The model of a service as an extractor; without a service every call is an error. It travels to the tasks, which make the calls."""
+
+    def __init__(self, model: str, service: Service | None):
+        self.model, self.service = model, service
+
+    def __call__(self, prompt: str) -> str:
+        if self.service is None:
+            raise RuntimeError("no usable OPENROUTER_API_KEY or OPENAI_API_KEY is set")
+        return chat(self.service, self.model, [{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}], as_json=True) or "{}"
+
+
 class Recorded:
     """Recorded answers by study name, for tests and replays."""
 

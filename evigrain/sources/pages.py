@@ -7,7 +7,9 @@ their own for that.
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
@@ -16,10 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigrain.functions.text import clean_page
+from evigrain.functions.text import clean_page, trimmed
 from evigrain.schemas import MISSING, PAGE
+from evigrain.sources.backends import Service, chat
 
-VISION_HEADER = "[OpenRouter vision/OCR extraction from page image]"  # fixed value
+# The header of transcribed text, and the tags of what a page's text comes from.
+VISION_HEADER = "[OpenRouter vision/OCR extraction from page image]"
+FROM_PDF, FROM_IMAGE, FAILED, SKIPPED, UNKNOWN = "pdf_text", "openrouter_vision", "vision_error", "vision_skipped", "unknown"
 MODES, POLICIES = ("off", "auto", "all"), ("warn", "error")
 
 
@@ -37,11 +42,41 @@ class PageDecoder(Protocol):
 
 
 class PageReader(Protocol):
-    """Transcribes a page image; raises on failure."""
+    """Transcribes a page of a file; raises on failure."""
 
     def __call__(self, path: str, page: int) -> str: ...
 
 
+def pymupdf_image(path: str, page: int, dpi: int) -> bytes:
+    """A page as PNG; needs PyMuPDF, and a path that the task can open."""
+    try:
+        import pymupdf
+    except ImportError as e:
+        raise RuntimeError("page images need PyMuPDF, or another rasteriser") from e
+    with pymupdf.open(re.sub("^file:/*", "/", path), filetype="pdf") as doc:
+        return doc[page - 1].get_pixmap(dpi=dpi, alpha=False).tobytes("png")
+
+
+PROMPT = (
+    "Page {page} of {file}, a paper on sepsis. Transcribe what this page shows beyond its running text: tables, figures and their panels, captions, legends, footnotes, flow diagrams. "
+    "Keep numbers, units, intervals, p values and labels exactly as printed, mark the result as read from an image, and add nothing that cannot be seen. If there is nothing to transcribe, answer: Not reported"
+)
+
+
+class VisionReader:
+    """A reader that shows page images to a service's vision model; `image` makes them."""
+
+    def __init__(self, model: str, service: Service | None, dpi: int = 144, image: Callable[[str, int, int], bytes] = pymupdf_image):
+        self.model, self.service, self.dpi, self.image = model, service, dpi, image
+
+    def __call__(self, path: str, page: int) -> str:
+        if self.service is None:
+            raise RuntimeError("reading page images needs a usable OPENROUTER_API_KEY")
+        shown = "data:image/png;base64," + base64.b64encode(self.image(path, page, self.dpi)).decode()
+        asked = PROMPT.format(page=page, file=path.rsplit("/", 1)[-1])
+        return chat(self.service, self.model, [{"role": "user", "content": [{"type": "text", "text": asked}, {"type": "image_url", "image_url": {"url": shown}}]}])
+
+
 def pymupdf_pages(content: bytes) -> Iterator[RawPage]:
     """The default decoder; needs PyMuPDF."""
     try:
@@ -67,7 +102,7 @@ def wants_vision(mode: str, text: Column, images: Column, least_chars: int = 500
         raise ValueError(f"vision mode must be one of {', '.join(MODES)}")
     if mode != "auto":
         return F.lit(mode == "all")
-    return (F.length(F.btrim(F.coalesce(text, F.lit("")))) < least_chars) | (F.coalesce(images, F.lit(0)) > 0)
+    return (F.length(trimmed(F.coalesce(text, F.lit("")))) < least_chars) | (F.coalesce(images, F.lit(0)) > 0)
 
 
 def with_vision_text(text: Column, vision: Column) -> Column:
@@ -98,18 +133,19 @@ def read_pages(spark: SparkSession, folder: str, decode: PageDecoder = pymupdf_p
                 for p in decode(content):
                     if max_pages and p.number > max_pages:
                         break
-                    rows.append((file, path, p.number, p.label, p.total, p.title or file.rsplit(".", 1)[0], p.images, p.text))
+                    rows.append((file, path, p.number, str(p.number), p.total, p.title or file.rsplit(".", 1)[0], p.images, p.text))
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in raw_schema.split(", ")])
 
     raw = list_pdfs(spark, folder).mapInPandas(pages, raw_schema)
     clean = raw.withColumn("text", clean_page(F.col("raw"))).drop("raw").withColumn("_ask", wants_vision(vision, F.col("text"), F.col("embedded_image_count"), least_chars))
-    types = F.when(F.col("text") != "", "pdf_text").otherwise("")
-    if vision == "off":
-        done = clean.withColumns({"source_types": types, "_vision": F.lit(None).cast("string")})
-    else:
-        done = _transcribed(clean.withColumn("source_types", types), reader, policy)
-    full = done.withColumn("text", with_vision_text(F.col("text"), clean_page(F.col("_vision")))).where("text <> ''").withColumns({"vision_mode": F.lit(vision), "vision_model": F.lit(model)})
+    done = clean.withColumns({"_vision": F.lit(None).cast("string"), "_event": F.lit(None).cast("string")}) if vision == "off" else _transcribed(clean, reader, policy)
+    seen = clean_page(F.col("_vision"))
+    # A transcription that is blank or says that nothing was found leaves no tag.
+    done = done.withColumn("_event", F.when(F.col("_event") != FROM_IMAGE, F.col("_event")).when(~seen.isin("", MISSING), F.col("_event")))
+    tags = F.concat_ws(", ", F.when(F.col("text") != "", FROM_PDF), "_event")
+    done = done.withColumns({"source_types": F.coalesce(F.nullif(tags, F.lit("")), F.lit(UNKNOWN)), "vision_mode": F.lit(vision), "vision_model": F.when(F.col("_event") == FROM_IMAGE, model).otherwise("")})
+    full = done.withColumn("text", with_vision_text(F.col("text"), seen)).where("text <> ''")
     return full.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE.fields)).orderBy("file_name", "page_number")
 
 
@@ -117,20 +153,20 @@ def _transcribed(pages: DataFrame, reader: Callable[[str, int], str], policy: st
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         broken = False
         for frame in frames:
-            texts, tags = [], []
-            for wanted, path, page, tag in zip(frame["_ask"], frame["file_path"], frame["page_number"], frame["source_types"]):
-                text, more = None, ""
+            texts, events = [], []
+            for wanted, path, page in zip(frame["_ask"], frame["file_path"], frame["page_number"]):
+                text = event = None
                 if wanted and broken:
-                    more = "vision_skipped"
+                    event = SKIPPED
                 elif wanted:
                     try:
-                        text, more = reader(path, int(page)), "openrouter_vision"
+                        text, event = reader(path, int(page)), FROM_IMAGE
                     except Exception as e:
                         if policy == "error":
-                            raise
-                        more, broken = "vision_error", out_of_credits(str(e))
+                            raise RuntimeError(f"page {page} of {path}: {e}") from e
+                        event, broken = FAILED, out_of_credits(str(e))
                 texts.append(text)
-                tags.append(", ".join(x for x in (tag, more) if x))
-            yield frame.assign(_vision=texts, source_types=tags)
+                events.append(event)
+            yield frame.assign(_vision=texts, _event=events)
 
-    return pages.mapInPandas(ask, T.StructType([*pages.schema.fields, T.StructField("_vision", T.StringType())]))
+    return pages.mapInPandas(ask, T.StructType([*pages.schema.fields, T.StructField("_vision", T.StringType()), T.StructField("_event", T.StringType())]))

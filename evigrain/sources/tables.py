@@ -29,7 +29,7 @@ def write_evidence(table: DataFrame, path: str, files: int | None = 1, canonical
 def audit_rows(ranked: DataFrame) -> DataFrame:
     """The audit record of every retrieved passage, by file, best first."""
     page = F.col("page_number").cast("string")
-    rows = ranked.select("source_file", F.col("page_number").alias("source_page"), F.col("passage_id").alias("source_passage_id"), source_link(F.col("source_path"), F.col("source_file"), page).alias("source_link"), "score", "text", "rank")
+    rows = ranked.select("source_file", F.col("page_number").alias("source_page"), F.col("passage_id").alias("source_passage_id"), source_link(F.col("source_path"), page).alias("source_link"), "score", "text", "rank")
     return rows.orderBy("source_file", "rank").select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in AUDIT.fields))
 
 

@@ -1,13 +1,18 @@
 """Anchors, validation, the evidence table, files and backends."""
 
+import base64
 import json
+import os
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
 
+from evigrain import cli
 from evigrain.operators import table
 from evigrain.operators.packed import NameGuard, split_array, split_packed
-from evigrain.operators.provenance import page_of, source_link
+from evigrain.operators.provenance import page_of, source_link, with_pdf
 from evigrain.operators.retrieve import contexts, gate, per_file, score, top
 from evigrain.operators.segment import segment
 from evigrain.operators.validate import with_support
@@ -48,8 +53,31 @@ def test_support(spark, changes, status):
 def test_pages_and_links(spark):
     df = spark.createDataFrame([(x,) for x in ("3.7", "0", "nan", "Not reported", "inf", None)], "p string")
     assert [r[0] for r in df.select(page_of(F.col("p"))).collect()] == [3, 0, None, None, None, None]
-    links = df.select(source_link(F.lit(None).cast("string"), F.lit("a.pdf"), F.col("p"))).collect()
-    assert links[0][0] == "file://articles/a.pdf#page=3" and links[1][0] == "file://articles/a.pdf"
+    links = df.select(source_link(F.lit("file:/x/a b*~+é.pdf"), F.col("p")), source_link(F.lit(""), F.col("p")), source_link(F.lit("s3://x/a.pdf"), F.lit("2")), source_link(F.lit("a.pdf"), F.lit(None).cast("string"))).collect()
+    assert links[0][0] == "file:///x/a%20b%2A~%2B%C3%A9.pdf#page=3" and links[1][0] == "file:///x/a%20b%2A~%2B%C3%A9.pdf"
+    assert links[0][1] == MISSING and links[0][2] == "s3://x/a.pdf#page=2" and links[0][3] == f"file://{os.getcwd()}/a.pdf"
+
+
+def test_the_file_of_a_row(spark):
+    files = spark.createDataFrame([("/k/articles/a.pdf",), ("file:/k/articles/b c+.pdf",), ("/k/articles/s.pdf",), ("/z/q.pdf",), ("/k/articles/a.pdf",)], "path string")
+    rows = [
+        (1, "file:///k/articles/b%20c+.pdf#page=3", "a.pdf", "s"), (2, "file:///gone.pdf", "a.pdf", "s"), (3, MISSING, "/z/q.pdf", None), (4, "", MISSING, "s"), (5, None, None, "s.pdf"),
+        (6, "https://x.org/a.pdf", "gone.pdf", "t"), (7, None, None, None), (2, "file:///gone.pdf", "a.pdf", "s"), (8, "file:///bad%zz", "", MISSING),
+    ]
+    df = spark.createDataFrame(rows, "row_id int, source_link string, source_file string, study_name string")
+    got = sorted(((r.row_id, r.pdf_path) for r in with_pdf(df, files, "/k/articles").collect()), key=lambda x: x[0])
+    a, s = "/k/articles/a.pdf", "/k/articles/s.pdf"
+    assert got == [(1, "/k/articles/b c+.pdf"), (2, a), (2, a), (3, "/z/q.pdf"), (4, s), (5, s), (6, None), (7, None), (8, None)]
+    assert with_pdf(df.limit(0), files).count() == 0 and with_pdf(df, files.limit(0)).where("pdf_path is null").count() == 9
+
+
+def test_repair_keeps_what_is_there(spark):
+    old = evidence(spark, source_file=MISSING, source_page="4", source_passage_id=MISSING, source_link="https://x.org/a", study_name="s").unionByName(evidence(spark, source_file=MISSING, source_page=MISSING, source_passage_id="p", source_link="file:///gone.pdf", study_name="t"))
+    files = spark.createDataFrame([("/k/t.pdf",)], "path string")
+    s, t = table.repair(old, files, "/k").orderBy("study_name").collect()
+    assert (s.source_file, s.source_page, s.source_passage_id, s.source_link) == ("s", "4", MISSING, "https://x.org/a")
+    assert (t.source_file, t.source_page, t.source_passage_id) == ("t", MISSING, "p") and t.source_link.startswith("/app/static/source_pdfs/t-") and "#" not in t.source_link
+    assert table.repair(old.where("study_name = 't'")).first().source_link == MISSING
 
 
 def test_retrieval_is_capped_and_gated(spark):
@@ -113,10 +141,55 @@ def test_backends(spark):
     assert rows["f1"].notes.startswith("Regex") and rows[MISSING].notes == MISSING and rows[MISSING].source_file == "f0.pdf"
     with pytest.raises(ValueError):
         backends.extract_rows(studies, QUESTION, "other")
-    assert backends.service({"OPENROUTER_API_KEY": "your_openrouter_key_here", "OPENAI_API_KEY": "k"}).key == "k"
+    assert backends.service({"OPENROUTER_API_KEY": " Your_OpenRouter_API_key", "OPENAI_API_KEY": "k"}).key == "k"
     assert backends.service({}) is None
 
 
+class Answers(BaseHTTPRequestHandler):
+    asked: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.asked.append((self.path, {k.lower(): v for k, v in self.headers.items()}, body))
+        code, said = (402, "Insufficient credits") if body["model"] == "poor" else (200, json.dumps({"choices": [{"message": {"content": '{"rows": [{"predictor": "Lactate"}]}'}}]}))
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(said.encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_service_answers(spark, tmp_path, monkeypatch):
+    server = HTTPServer(("127.0.0.1", 0), Answers)
+    Thread(target=server.serve_forever, daemon=True).start()
+    router = backends.service({"OPENROUTER_API_KEY": "k", "OPENROUTER_BASE_URL": f"http://127.0.0.1:{server.server_port}/v1/", "OPENROUTER_HTTP_REFERER": "r", "OPENAI_API_KEY": "o"})
+    studies = contexts(per_file(score(segment(page_rows(spark, TEXT)), ["lactate"]), 8))
+    assert backends.extract_rows(studies, QUESTION, "llm", backends.Chat("m", router)).first().predictor == "Lactate"
+    path, headers, body = Answers.asked[0]
+    assert path == "/v1/chat/completions" and headers["authorization"] == "Bearer k" and headers["http-referer"] == "r" and body["temperature"] == 0 and body["response_format"] == {"type": "json_object"}
+    reader = pages.VisionReader("m", router, 72, lambda path, page, dpi: f"{path} {page} {dpi}".encode())
+    assert reader("/a/f.pdf", 2).startswith("{") and base64.b64decode(Answers.asked[-1][2]["messages"][0]["content"][1]["image_url"]["url"].split(",")[1]) == b"/a/f.pdf 2 72"
+    with pytest.raises(RuntimeError, match="402.*Insufficient") as failed:
+        backends.Chat("poor", router)("p")
+    assert pages.out_of_credits(str(failed.value))
+    assert backends.service({"OPENAI_API_KEY": "o", "OPENAI_BASE_URL": "http://b"}).base_url == "http://b"
+    server.shutdown()
+    # Without a key: an error for llm, patterns for auto, tags on the pages that need vision.
+    for name in ("OPENROUTER_API_KEY", "OPENAI_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f0.pdf").write_bytes(TEXT.encode())
+    args = ["--articles", str(tmp_path / "in"), "--output", str(tmp_path / "e"), "--evidence-jsonl", str(tmp_path / "a"), "--query", QUESTION]
+    decode = lambda content: iter([pages.RawPage(1, "", content.decode(), 1, 1, "")])
+    with pytest.raises(RuntimeError, match="usable"):
+        cli.main(args, decode=decode)
+    assert cli.main([*args, "--backend", "auto"], decode=decode) == 0
+    assert tables.read_evidence(spark, str(tmp_path / "e")).first().notes.startswith("Regex")
+    tagged = pages.read_pages(spark, str(tmp_path / "in"), decode, vision="auto", reader=pages.VisionReader("m", None))
+    assert tagged.first().source_types == "pdf_text, vision_error"
+
+
 def test_pages_with_vision(spark, tmp_path):
     (tmp_path / "B.pdf").write_bytes(b"one")
     (tmp_path / "a.pdf").write_bytes(b"two")
@@ -132,8 +205,10 @@ def test_pages_with_vision(spark, tmp_path):
         return "seen" if page == 2 else MISSING
 
     got = {(r.file_name, r.page_number): (r.text, r.source_types) for r in pages.read_pages(spark, str(tmp_path), decode, vision="all", reader=reader).collect()}
-    assert got["a.pdf", 2] == (pages.VISION_HEADER + "\nseen", "openrouter_vision") and got["a.pdf", 1] == ("two text", "pdf_text, openrouter_vision")
+    assert got["a.pdf", 2] == (pages.VISION_HEADER + "\nseen", "openrouter_vision") and got["a.pdf", 1] == ("two text", "pdf_text")
     assert got["B.pdf", 1] == ("one text", "pdf_text, vision_error") and ("B.pdf", 2) not in got
+    models = {(r.file_name, r.page_number): (r.page_label, r.vision_model) for r in pages.read_pages(spark, str(tmp_path), decode, vision="all", reader=reader, model="m").collect()}
+    assert models == {("a.pdf", 1): ("1", ""), ("a.pdf", 2): ("2", "m"), ("B.pdf", 1): ("1", "")}
     assert pages.read_pages(spark, str(tmp_path / "none"), decode).count() == 0
     assert pages.read_pages(spark, str(tmp_path), decode, max_pages=1).count() == 2
     with pytest.raises(ValueError):
