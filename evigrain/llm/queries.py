@@ -48,8 +48,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Every page and passage as continuous paragraphs."""
-    pages, records = _scanned(spark, folder)
-    return repair_texts(spark, records, count_parts(pages.select("text")), titles_of(pages))
+    pages = table(spark, folder, "page_document")
+    columns = {"page_document": ("page_id", "file_name", "page_number", "text"), "passage": ("passage_id", "source_file", "page_number", "text")}
+    once = [delivered_once(spark, folder, t, *c).select(F.lit(t).alias("table_name"), *(F.col(x).alias(y) for x, y in zip(c, ("record_id", "file", "page", "text")))) for t, c in columns.items()]
+    return repair_texts(spark, once[0].unionByName(once[1]), count_parts(pages.select("text")), titles_of(pages))
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,25 +3,31 @@
 The words of all pages are counted once.  A text is then read as a stream of characters without its line
 breaks, in which a word may have been split, merged with its neighbour, broken by a hyphen or misread; the
 cheapest sequence of words under the counts (a noisy channel decoded by dynamic programming) tells which kinds
-of damage are present: a break mark that it drops, a confusion that it uses.  Stroke keys and word counts only
-find what a stretch may be read as.  Most of a text consists of words beyond doubt; the lattice is built only
-around the others, with their neighbours.  The repair decodes runs of doubtful words in the same manner.  Running headers and page numbers are lines at the edge of a page that carry the title of the file
-or the name of a journal, or a number.  Paragraphs are the cheapest partition of the remaining lines.
-
-Defined results: null and blank texts have no damage and repair to themselves; a record delivered again
-counts once; a file without any title has headers by journal name alone; words never seen elsewhere are left
-as they are.
+of damage are present, and is what the repair writes: a break mark that it drops, a confusion that it uses, a
+blank that it adds or leaves out.  Stroke keys and word counts only find what a stretch may be read as.  Most of
+a text consists of words beyond doubt; the lattice is built only around the others, with their neighbours.
+Running headers and page numbers are lines at the edge of a page that carry the title of the file or the name of
+a journal, or a number.  Paragraphs are the cheapest partition of the repaired lines, by dynamic programming.
+
+The counts of a corpus of more than `REFERENCE` words are brought down to that many, so that a slip which a large
+corpus repeats does not pass for a word; the words that reach the tasks are bounded by it too.
+
+Defined results: null and blank texts have no damage and repair to themselves; of a record delivered again
+find_noise gives its kinds once, repair_texts one row for each row it gets; a file without any title has headers
+by journal name alone; words never seen elsewhere are left as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 from statistics import median
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +40,11 @@ STROKES = str.maketrans(
 )
 NUMERALS = str.maketrans("lIi|!OoSsBZzgq", "11111005582299")  # fixed values: letters misread for digits
 RATIO, LEAST = 8, 4  # how much commoner, and how common, the true word is
-MOST_WORDS = 3_000_000
-LONGEST = 40  # letters of a word
+REFERENCE = 50_000_000  # words to which the counts of a larger corpus are brought down
+MOST_WORDS = 3_000_000  # words seen twice in as many; more is an error
+MOST_TITLES = 300_000  # files whose titles are broadcast, some 100 bytes each; more are joined in a shuffle, `SALTS` parts to a file
+SALTS = 16
+HEADER = 160  # characters of a running header at most
 HEAD = 6  # strokes by which the beginnings of counted words are looked up
 BREAK = "\x02"  # stands for a break mark and its gap
 # Prices in a region: of a letter of an unknown word, a blank within a word, a blank that is missing, a break mark that stays.
@@ -48,6 +57,7 @@ _CLEAN_NUMBER = re.compile(r"[+\-–<>=≤≥~±]*\d[\d.,:%°]*")
 _NUMBERISH = re.compile(r"[+\-–<>=]*[\dlIi|!OoSsBZzgq.,:]*\d[\dlIi|!OoSsBZzgq.,:]*%?|[SZBlIOo]\.\d+%?|\d+\.[SZBlIOo]%?|[SZBlIOo]{1,2}%")
 _ODD_INSIDE = re.compile(r"[^\W\d_][0-9!|@$]+[^\W\d_]|^[0-9!|@$][^\W\d_]{3,}|[^\W\d_]{3,}[0|@$]$|[^\W\d_][!]$")
 _GAP = re.compile(r"(?<=[\w!@|$])([-\xad‐¬])([ \t]*\n[ \t\n]*|[ \t]+)(?=[\w!@|$])")
+_TOKEN = re.compile(r"\S+")
 _AFTER = re.compile(r"[\w!@|$]+")
 _CODE = re.compile(r"[A-Z]\d")
 _LATIN = re.compile(r"[a-zA-Z]")
@@ -57,8 +67,8 @@ def mend(text: str, judge: Callable[[str, str, str, str], str]) -> str:
     """The text with every mark and gap between two halves of a possible word replaced by judge(left, mark, gap, right)."""
     out, last = [], 0
     for m in _GAP.finditer(text):
-        begin, low = m.start(), max(last, m.start() - LONGEST)
-        while begin > low and (text[begin - 1].isalnum() or text[begin - 1] in "_!@|$"):
+        begin = m.start()
+        while begin > last and (text[begin - 1].isalnum() or text[begin - 1] in "_!@|$"):
             begin -= 1
         left, right = text[begin : m.start()], _AFTER.match(text, m.end())
         if left and right and left[0].isalnum() and right[0][-1].isalnum():
@@ -67,6 +77,18 @@ def mend(text: str, judge: Callable[[str, str, str, str], str]) -> str:
     return "".join((*out, text[last:])) if out else text
 
 
+def parts_at(token: str) -> list[tuple[int, int]]:
+    """Where the words of a token stand in it, without marks and joints."""
+    out, begin = [], 0
+    for end, after in (*((m.start(), m.end()) for m in _PARTS.finditer(token)), (len(token), 0)):
+        part = token[begin:end]
+        left = len(part) - len(part.lstrip(_STRIP))
+        if kept := part.strip(_STRIP):
+            out.append((begin + left, begin + left + len(kept)))
+        begin = after
+    return out
+
+
 def parts_of(token: str) -> list[str]:
     return [q for p in _PARTS.split(token.strip(_STRIP)) if (q := p.strip(_STRIP))]
 
@@ -80,8 +102,8 @@ def counted(part: str) -> str:
     return shape(part) if part[0].isdigit() or _NUMBERISH.fullmatch(part) else part.lower()
 
 
-def count_parts(texts: DataFrame, least: int = 2) -> dict[str, int]:
-    """How often each word (or shape of number) stands in all texts, of those seen `least` times; size checked."""
+def count_parts(texts: DataFrame, least: int = 2, reference: int = REFERENCE) -> dict[str, float]:
+    """How often each word (or shape of number) stands in all texts, or in `reference` words of them, of those seen `least` times; size checked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,51 +115,87 @@ def count_parts(texts: DataFrame, least: int = 2) -> dict[str, int]:
             out: Counter = Counter()
             for token, n in tokens.items():
                 for part in parts_of(token):
-                    if len(part) < LONGEST:
-                        out[counted(part)] += n
+                    out[counted(part)] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["part", "n"])
 
-    rows = texts.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= least).limit(MOST_WORDS + 1).collect()
+    counts = texts.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).persist()
+    try:
+        scale = min(1.0, reference / max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+        rows = counts.where(F.col("n") * scale >= least).limit(MOST_WORDS + 1).collect()
+    finally:
+        counts.unpersist()
     if len(rows) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} words")
-    return {r.part: r.n for r in rows}
+    return {r.part: r.n * scale if scale < 1 else r.n for r in rows}
+
 
+class Region(NamedTuple):
+    """A stretch to decode: its atoms, where they stand in the text, and the gaps between them (None a blank, else a break)."""
 
-def regions(tokens: list[str], doubtful: set[str], breaks: list[tuple[str, str, str, str]]) -> Iterator[tuple[tuple[str, ...], tuple[tuple[str, str] | None, ...]]]:
-    """(atoms, gaps between them) of every run of doubtful tokens, with the neighbours on either side that no punctuation parts from it."""
+    atoms: tuple[str, ...]
+    spans: tuple[tuple[int, int], ...]
+    gaps: tuple[tuple[str, str] | None, ...]
+
+
+def regions(text: str, doubt: Callable[[str], bool], breaks: list[tuple[str, str, str, str]]) -> Iterator[Region]:
+    """Every run of doubtful tokens with the neighbours on either side that neither punctuation nor a blank line parts from it."""
+    judged = {t: doubt(t) for t in set(text.split())}
+    if not any(judged.values()):
+        return
+    tokens = [(m[0], m.start()) for m in _TOKEN.finditer(text)]
     marks = iter(breaks)
     atoms: list[str] = []
+    spans: list[tuple[int, int]] = []
     gaps: list[tuple[str, str] | None] = []
-    for at in [i for i, t in enumerate(tokens) if t in doubtful]:
-        token = tokens[at]
-        if at and token[0].isalnum() and tokens[at - 1][-1].isalnum():
-            if not atoms:
-                atoms = parts_of(tokens[at - 1])[-1:]
-        elif atoms:
-            yield tuple(atoms), tuple(gaps)
-            atoms, gaps = [], []
-        for i, part in enumerate(parts_of(token)):
-            if i and atoms:
-                yield tuple(atoms), tuple(gaps)
-                atoms, gaps = [], []
-            for j, half in enumerate(part.split(BREAK)):
-                gap = None
-                if j:
+
+    def flush() -> Iterator[Region]:
+        if atoms:
+            yield Region(tuple(atoms), tuple(spans), tuple(gaps))
+        atoms.clear()
+        spans.clear()
+        gaps.clear()
+
+    def beside(i: int) -> bool:
+        """Whether tokens i and i + 1 may hold one word."""
+        (a, at), (b, then) = tokens[i], tokens[i + 1]
+        return a[-1].isalnum() and b[0].isalnum() and text.count("\n", at + len(a), then) < 2
+
+    for i in [i for i, (t, _) in enumerate(tokens) if judged[t]]:
+        token, at = tokens[i]
+        if i and beside(i - 1):
+            if not atoms and (own := parts_at(tokens[i - 1][0])):
+                before, start = tokens[i - 1]
+                atoms.append(before[own[-1][0] : own[-1][1]])
+                spans.append((start + own[-1][0], start + own[-1][1]))
+        else:
+            yield from flush()
+        for j, (b, e) in enumerate(parts_at(token)):
+            if j:
+                yield from flush()
+            for k, half in enumerate(token[b:e].split(BREAK)):
+                gap, place = None, (at + b, at + b + len(half))
+                if k:
                     left, *gap, right = next(marks)
                     # Writing without blanks has no parts; there the halves are what stands beside the mark.
-                    atoms[-1], half, gap = atoms[-1] or left, half or right, tuple(gap)
+                    if not atoms[-1]:
+                        atoms[-1], spans[-1] = left, (spans[-1][1] - len(left), spans[-1][1])
+                    half, gap = half or right, tuple(gap)
+                    place = (at + b, at + b + len(half))
                 if atoms:
                     gaps.append(gap)
                 atoms.append(half)
-        after = tokens[at + 1] if at + 1 < len(tokens) else "."
-        if after in doubtful:
+                spans.append(place)
+                b += len(half) + 1
+        if i + 1 < len(tokens) and judged[tokens[i + 1][0]]:
             continue
-        if atoms and token[-1].isalnum() and after[0].isalnum() and (own := parts_of(after)):
+        if atoms and i + 1 < len(tokens) and beside(i) and (own := parts_at(tokens[i + 1][0])):
+            after, start = tokens[i + 1]
             gaps.append(None)
-            atoms.append(own[0])
-        if atoms:
-            yield tuple(atoms), tuple(gaps)
-        atoms, gaps = [], []
+            atoms.append(after[own[0][0] : own[0][1]])
+            spans.append((start + own[0][0], start + own[0][1]))
+            if len(own) == 1 and i + 2 < len(tokens) and judged[tokens[i + 2][0]] and beside(i + 1):
+                continue  # the neighbour of both
+        yield from flush()
 
 
 class Reader:
@@ -152,15 +210,15 @@ class Reader:
                 key = word.translate(STROKES)
                 self.alike[key] = max(self.alike.get(key, (0, "")), (n, word))
         self.heads = {word.translate(STROKES)[:HEAD] for word in counts}
+        self.longest = max(map(len, counts), default=0)
         self.clean: set[str] = set()
         self.reading = lru_cache(300_000)(self._reading)
-        self.decode = lru_cache(100_000)(self._decode)
         self.path = lru_cache(100_000)(self._path)
 
     def _reading(self, part: str) -> tuple[str, float] | None:
         """(true word, cost) if the part is a misread word or number, else None."""
-        if len(part) >= LONGEST or _CLEAN_NUMBER.fullmatch(part) or not _LATIN.search(part):
-            return None  # no counted word is that long, so none could be the true one
+        if _CLEAN_NUMBER.fullmatch(part) or not _LATIN.search(part):
+            return None
         if _NUMBERISH.fullmatch(part) and not part.isalpha():
             if _CODE.match(part):
                 return None
@@ -168,12 +226,11 @@ class Reader:
             own, other = self.counts.get(shape(part), 0), self.counts.get(shape(true), 0)
             return (true, self.total - math.log(other) + math.log(RATIO)) if other >= LEAST and other >= RATIO * own else None
         low = part.lower()
-        odd = bool(_ODD_INSIDE.search(part))
-        if len(low) < 2 or (len(low) < 3 and not odd):
-            return None
-        own = self.counts.get(low, 0)
         n, other = self.alike.get(low.translate(STROKES), (0, ""))
-        if other == low or len(other) < 2 or not (n >= LEAST and n >= RATIO * max(own, 0.5) or odd and n > own):
+        if other == low or len(other) < 2 or len(low) < 2:
+            return None
+        own, odd = self.counts.get(low, 0), bool(_ODD_INSIDE.search(part))
+        if len(low) < 3 and not odd or not (n >= LEAST and n >= RATIO * max(own, 0.5) or odd and n > own):
             return None
         # At this price a word on its own is read as the other one if that is RATIO times commoner, an odd one if it is commoner.
         return other, self.total - math.log(n) + (0.0 if odd else math.log(RATIO))
@@ -208,17 +265,17 @@ class Reader:
             breaks.append((left, mark, gap, right))
             return BREAK
 
-        tokens = mend(text.replace(BREAK, " "), note).split()
-        doubtful = {t for t in set(tokens) if t not in self.clean and not self.certain(t)}
         hyphen = bad = False
-        if doubtful:
-            for atoms, gaps in regions(tokens, doubtful, breaks):
-                # What can tell nothing new is not decoded.
-                if not (bad and (hyphen or not any(gaps))):
-                    joined, confused = self.path(atoms, gaps)
-                    hyphen, bad = hyphen or joined, bad or confused
+        for r in regions(mend(text.replace(BREAK, " "), note), self.doubtful, breaks):
+            # What can tell nothing new is not decoded.
+            if not (bad and (hyphen or not any(r.gaps))):
+                for _, _, joined, confused in self.path(r.atoms, r.gaps):
+                    hyphen, bad = hyphen or joined, bad or confused is not None
         return hyphen, bad
 
+    def doubtful(self, token: str) -> bool:
+        return token not in self.clean and not self.certain(token)
+
     def certain(self, token: str) -> bool:
         """Whether the token is beyond doubt: no break, and every part frequent or no word of Latin letters, and none misread."""
         for p in parts_of(token):
@@ -228,8 +285,8 @@ class Reader:
             self.clean.add(token)
         return True
 
-    def _path(self, atoms: tuple[str, ...], gaps: tuple[tuple[str, str] | None, ...]) -> tuple[bool, bool]:
-        """(break mark dropped, confusion used) on the cheapest way to read atoms; a gap is a blank (None) or a break (mark, gap).
+    def _path(self, atoms: tuple[str, ...], gaps: tuple[tuple[str, str] | None, ...]) -> list[tuple[int, int, bool, str | None]]:
+        """(begin, end, break mark dropped, true word if misread) of each word on the cheapest way to read the atoms' characters; a gap is a blank (None) or a break (mark, gap).
 
         A word may begin or end inside an atom (merged) or cross a blank (split) only if it is known or confused with
         a known one; one that crosses a break must be possible as a broken word.
@@ -246,22 +303,22 @@ class Reader:
         keys = [c.translate(STROKES) for c in low]
         key_at = [0, *accumulate(map(len, keys))]
         strokes = "".join(keys)
-        cost, back = [0.0] + [math.inf] * size, [(0, False, False)] * (size + 1)
+        cost, back = [0.0] + [math.inf] * size, [(0, False, None)] * (size + 1)
         for begin in range(size):
             if cost[begin] == math.inf:
                 continue
             low_key = key_at[begin]
             if strokes[low_key : low_key + HEAD] in self.heads:
-                reach = [*range(begin + 1, min(size, begin + LONGEST) + 1)]
-                reach += [e for e in (whole.get(begin, 0),) if e > begin + LONGEST]
+                reach = [*range(begin + 1, min(size, begin + self.longest) + 1)]
+                reach += [e for e in (whole.get(begin, 0),) if e > begin + self.longest]
             else:
                 # No counted word begins like this, but for short ones; what may be unknown runs from edge to edge.
                 reach = [e for e in range(begin + 1, min(size, begin + HEAD) + 1) if key_at[e] - low_key < HEAD or (begin in edges and e in edges)]
-                reach += [e for e in ends if e > begin + HEAD and begin in edges and (e <= begin + LONGEST or whole[begin] == e)]
+                reach += [e for e in ends if e > begin + HEAD and begin in edges and (e <= begin + self.longest or whole[begin] == e)]
             for end in reach:
                 atom = whole.get(begin) == end
-                crossed = () if atom else [g for g in inner if begin < g < end]
-                n, confused = self.counts.get(low[begin:end], 0), False
+                crossed = () if atom else inner[bisect_right(inner, begin) : bisect_left(inner, end)]
+                n, confused = self.counts.get(low[begin:end], 0), None
                 key = "" if atom else strokes[low_key : key_at[end]]
                 marked = any(ends[g] for g in crossed)
                 if not (atom or marked or n >= LEAST or key in self.alike):
@@ -271,14 +328,16 @@ class Reader:
                     n = self.counts.get(counted(piece), 0)
                 price = self.total - math.log(n) if n else self.total + UNKNOWN * len(piece)
                 if (r := self.reading(piece) if atom or key in self.alike else None) and r[1] < price:
-                    confused, price = True, r[1]
+                    confused, price = r
                 if not atom:
-                    if n < LEAST and not confused and not (marked and begin in edges and end in edges and all(ends[g] for g in crossed)):
+                    if n < LEAST and confused is None and not (marked and begin in edges and end in edges and all(ends[g] for g in crossed)):
                         continue
                     if not all(self.broken(chars[begin:g], *ends[g], chars[g:end]) if ends[g] else min(self.known(chars[begin:g]), self.known(chars[g:end])) < LEAST for g in crossed):
                         continue
+                    if end - begin < 2 and not (begin in edges and end in edges):
+                        continue  # a letter left over is no word
                     price += SPLIT * sum(not ends[g] for g in crossed) + MERGED * (begin not in edges)
-                    if confused and not (begin in edges and end in edges):
+                    if confused is not None and not (begin in edges and end in edges):
                         # Short words lie in many a name that is seen once.
                         if end - begin < 4:
                             continue
@@ -287,80 +346,55 @@ class Reader:
                     price += KEPT
                 if cost[begin] + price < cost[end]:
                     cost[end], back[end] = cost[begin] + price, (begin, marked, confused)
-        end, joined, bad = size, False, False
-        while end:
-            end, marked, confused = back[end]
-            joined, bad = joined or marked, bad or confused
-        return joined, bad
-
-    def _decode(self, region: str) -> str:
-        """The cheapest words for a stretch of characters, in which blanks may be missing or superfluous."""
-        chars = region.replace(" ", "")
-        gaps, at = set(), 0
-        for c in region:
-            if c == " ":
-                gaps.add(at)
-            else:
-                at += 1
-        size = len(chars)
-        cost, back = [0.0] + [math.inf] * size, [(0, "")] * (size + 1)
-        for end in range(1, size + 1):
-            for begin in range(max(0, end - 24), end):
-                if cost[begin] == math.inf:
-                    continue
-                piece = chars[begin:end]
-                bare = piece.strip(_STRIP)
-                n = self.known(bare) if bare else 0
-                own = self.total - math.log(n) if n else self.total + 3.0 * len(piece)
-                word, price = piece, own
-                if bare and (n < LEAST or _ODD_INSIDE.search(bare)):
-                    r = self.reading(bare)
-                    dear = r[1] + 4.0 - math.log(RATIO) if r else math.inf  # dearer than in damage(): here nothing else keeps short words out
-                    if r and dear < price:
-                        word, price = piece.replace(bare, _cased(bare, r[0])), dear
-                price += 3.0 * sum(begin < g < end for g in gaps) + (0.0 if end in gaps or end == size else 5.0)
-                if cost[begin] + price < cost[end]:
-                    cost[end], back[end] = cost[begin] + price, (begin, word)
         words, end = [], size
         while end:
-            end, word = back[end]
-            words.append(word)
-        return " ".join(reversed(words))
+            begin, marked, confused = back[end]
+            words.append((begin, end, marked, confused))
+            end = begin
+        return words[::-1]
 
     def repair(self, text: str) -> str:
-        """One paragraph: break marks gone, misread, split and merged words restored."""
-        text = mend(text, lambda left, mark, gap, right: "" if self.broken(left, mark, gap, right) else mark if "\n" in gap else mark + gap)
-        tokens = text.split()
-        doubtful = [bool(_LATIN.search(t)) and (self.misread(t) or self._strange(t)) for t in tokens]
-        out, i = [], 0
-        while i < len(tokens):
-            if not doubtful[i]:
-                out.append(tokens[i])
-                i += 1
-                continue
-            j = i
-            while j < len(tokens) and doubtful[j] and j - i < 4:
-                j += 1
-            region = tokens[i:j]
-            if j - i == 1 and self.misread(tokens[i]):
-                out.append(self._whole(tokens[i]))
-            elif sum(map(len, region)) < 60 and all(re.fullmatch(r"[^\W\d_!@|$]{1,24}[.,;:]?", t) for t in region):
-                out.append(self.decode(" ".join(region)))
-            else:
-                out.extend(self._whole(t) for t in region)
-            i = j
-        return " ".join(out)
+        """The text with the words of the cheapest path: break marks gone, misread, split and merged words restored. Line breaks stay, behind a word that crossed one."""
+        breaks: list[tuple[str, str, str, str]] = []
 
-    def _strange(self, token: str) -> bool:
-        bare = token.strip(_STRIP)
-        return bool(re.fullmatch(r"[a-z]{2,}", bare)) and not self.known(bare)
+        def note(left: str, mark: str, gap: str, right: str) -> str:
+            breaks.append((left, mark, gap, right))
+            return BREAK
 
-    def _whole(self, token: str) -> str:
-        for part in parts_of(token):
-            r = self.reading(part)
-            if r:
-                token = token.replace(part, _cased(part, r[0]), 1)
-        return token
+        marked = mend(text.replace(BREAK, " "), note)
+        # A hyphen that stays at a line's end joins what it parts, another one is as it was.
+        places = [m.start() for m in re.finditer(BREAK, marked)] if breaks else []
+        kept = [mark if "\n" in gap else mark + gap for _, mark, gap, _ in breaks]
+
+        def plain(begin: int, end: int) -> str:
+            first, *rest = marked[begin:end].split(BREAK)
+            before = bisect_left(places, begin)
+            return first + "".join(kept[before + i] + part for i, part in enumerate(rest))
+
+        out, last = [], 0
+        for r in regions(marked, self.doubtful, breaks):
+            if r.spans[0][0] >= last:
+                out += (plain(last, r.spans[0][0]), self._written(r, plain))
+                last = r.spans[-1][1]
+        return "".join((*out, plain(last, len(marked))))
+
+    def _written(self, r: Region, plain: Callable[[int, int], str]) -> str:
+        words = self.path(r.atoms, r.gaps)
+        if all(true is None for *_, true in words) and [e - b for b, e, *_ in words] == list(map(len, r.atoms)):
+            return plain(r.spans[0][0], r.spans[-1][1])
+        edge, at = {}, 0  # characters of the atoms up to an edge -> what stands between two atoms
+        for atom, (_, end), (begin, _) in zip(r.atoms, r.spans, r.spans[1:]):
+            at += len(atom)
+            edge[at] = plain(end, begin)
+        chars, out = "".join(r.atoms), []
+        lines = [place for place, gap in edge.items() if "\n" in gap]
+        for begin, end, _, true in words:
+            piece = chars[begin:end]
+            # A word that crossed a line's end leaves it behind.
+            line = "\n" if bisect_right(lines, begin) < bisect_left(lines, end) else ""
+            after = edge.get(end, "" if end == len(chars) else " ")
+            out.append((_cased(piece, true) if true is not None else piece) + (line if line and after.isspace() and "\n" not in after else after))
+        return "".join(out)
 
 
 def _cased(model: str, word: str) -> str:
@@ -418,7 +452,7 @@ def is_header(line: str, title: str | None) -> bool:
     bare, _ = without_number(line)
     bare = re.sub(r"(\.{2,}|…)\s*$", "", bare.strip()).strip()
     words = bare.split()
-    if len(words) < 2 or len(bare) > 160:
+    if len(words) < 2 or len(bare) > HEADER:
         return False
     if title:
         a, b = fold(bare), fold(title)
@@ -449,7 +483,8 @@ def find_noise(spark: SparkSession, records: DataFrame, counts: dict[str, int],
                 if not text or text.isspace():
                     continue
                 hyphen, misread = reader.damage(text)
-                lines = [line for _, line in edge_lines(text) if len(line) < 170]
+                # Without its blanks a header has at most HEADER characters and its page number.
+                lines = [line for _, x in edge_lines(text) if len(line := re.sub(r"\s{3,}", "   ", x.strip())) <= HEADER + 40]
                 out.append((name, key, file, bool(page_number_lines(text)), hyphen, misread, lines))
             columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -473,6 +508,9 @@ def find_noise(spark: SparkSession, records: DataFrame, counts: dict[str, int],
     return titled.mapInArrow(kinds, "table_name string, record_id string, noise_kind string").distinct()
 
 
+SHORT = 60  # characters of a paragraph that is worth one
+
+
 def paragraphs(lines: list[tuple[str, bool]]) -> list[str]:
     """Lines (text, whether a blank line follows) as paragraphs: the cheapest partition by dynamic programming."""
     n = len(lines)
@@ -492,14 +530,22 @@ def paragraphs(lines: list[tuple[str, bool]]) -> list[str]:
         c += 4.0 if bare[-1:] in "-\xad‐¬," else 0.0
         return c
 
+    sizes = [0, *accumulate(len(x) for x, _ in lines)]
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    opened = [0.0] * (n + 1)  # the price of all up to a paragraph that begins there
+    far, far_at = math.inf, 0  # the best beginning of a paragraph of SHORT characters or more
+    first = 0  # the beginnings from here on are nearer
     for end in range(1, n + 1):
-        size = 0
-        for begin in range(end - 1, max(-1, end - 80), -1):
-            size += len(lines[begin][0])
-            price = best[begin] + (0.8 if size < 60 else 0.0) + (cost(begin - 1) if begin else 0.0)
-            if price < best[end]:
-                best[end], back[end] = price, begin
+        begin = end - 1
+        opened[begin] = best[begin] + (cost(begin - 1) if begin else 0.0)
+        while first < end and sizes[end] - sizes[first] >= SHORT:
+            if opened[first] <= far:
+                far, far_at = opened[first], first
+            first += 1
+        best[end], back[end] = far, far_at
+        for begin in range(first, end):
+            if opened[begin] + 0.8 < best[end]:
+                best[end], back[end] = opened[begin] + 0.8, begin
     cuts, end = [], n
     while end:
         cuts.append((back[end], end))
@@ -530,8 +576,16 @@ def placed_lines(text: str, places: list[str]) -> set[int]:
     return out
 
 
-def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int], titles: DataFrame) -> DataFrame:
-    """(table_name, record_id, text): each record once, as continuous paragraphs without headers and page numbers."""
+def with_titles(records: DataFrame, titles: DataFrame) -> DataFrame:
+    """records with the title of their file; a file may hold any share of the rows."""
+    if titles.limit(MOST_TITLES + 1).count() <= MOST_TITLES:
+        return records.join(F.broadcast(titles), "file", "left")
+    salted = records.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)))
+    return salted.join(titles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["file", "_salt"], "left").drop("_salt")
+
+
+def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, float], titles: DataFrame) -> DataFrame:
+    """(table_name, record_id, text): each row of records as continuous paragraphs without headers and page numbers."""
     shared = spark.sparkContext.broadcast(counts)
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,9 +595,9 @@ def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int]
             for name, key, text, title, places in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and not text.isspace():
                     gone = printed_lines(text, title) | placed_lines(text, places or [])
-                    raw = text.split("\n")
-                    lines = [(x, i + 1 < len(raw) and not raw[i + 1].strip()) for i, x in enumerate(raw) if x.strip() and i not in gone]
-                    text = "\n\n".join(reader.repair(p) for p in paragraphs(lines))
+                    raw = reader.repair("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)).split("\n")
+                    lines = [(x, i + 1 < len(raw) and not raw[i + 1].strip()) for i, x in enumerate(raw) if x.strip()]
+                    text = "\n\n".join(" ".join(p.split()) for p in paragraphs(lines))
                 out.append((name, key, text))
             columns = zip(*out) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["table_name", "record_id", "text"])
@@ -554,9 +608,11 @@ def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, int]
             columns = zip(*out) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["page_id", "place"])
 
-    titled = records.join(titles, "file", "left").select("table_name", "record_id", "text", "title")
+    titled = with_titles(records, titles).select("table_name", "record_id", "text", "title")
     # A page loses the printed lines of its passages too, wherever in the page their edges fall; only those lines are joined.
     passages = titled.where("table_name = 'passage' and text is not null").select(F.regexp_replace("record_id", r":c\d+$", "").alias("page_id"), "text", "title")
     placed = passages.mapInArrow(places, "page_id string, place string").groupBy("page_id").agg(F.collect_set("place").alias("places"))
-    titled = titled.join(placed, (F.col("table_name") == "page_document") & (F.col("record_id") == F.col("page_id")), "left").select("table_name", "record_id", "text", "title", "places")
-    return titled.mapInArrow(repair, "table_name string, record_id string, text string").dropDuplicates(["table_name", "record_id"])
+    # Only pages meet them, by their own key; the text of a passage is not shuffled.
+    paged = titled.where("table_name = 'page_document'").join(placed, F.col("record_id") == F.col("page_id"), "left").select("table_name", "record_id", "text", "title", "places")
+    others = titled.where("table_name <> 'page_document'").select("*", F.lit(None).cast("array<string>").alias("places"))
+    return paged.unionByName(others).mapInArrow(repair, "table_name string, record_id string, text string")

@@ -47,6 +47,59 @@ def test_damage_comes_from_the_path():
     assert r.damage("the mor-\nta1 ity") == (True, True) and r.damage("the thepatient, mor tality") == (False, False)
 
 
+def test_repair_writes_the_path():
+    r = scans.Reader(counts() | {"mortalité": 90, "élevée": 90, "letalität": 90, "war": 200, "patienten": 90, "mit": 200, "a" * 60: 50, "was": 300, "in": 300, "high": 90, "well": 50, "known": 50})
+    for damaged, whole in (
+        ("the mor tality was high", "the mortality was high"), ("In Themortality was", "In The mortality was"), ("mortalitéélevée was", "mortalité élevée was"), ("der Letalitätwar in", "der Letalität war in"),
+        ("Pa tienten mit", "Patienten mit"), ("the mor-\ntal1ty, bcforethe day", "the mortality, before the day"), ("the mor\ntality was", "the mortality\nwas"), ("a well-\nknown patient", "a well-known patient"),
+        ("the mor tality was the mor tality", "the mortality was the mortality"), ("in " + "a" * 25 + "-\n" + "a" * 35 + " was", "in " + "a" * 60 + " was"), ("(sec0nd), ca\xad\nnot", "(second), canot"), ("", ""), ("  ", "  "),
+    ):
+        assert r.repair(damaged) == whole, damaged
+    long = ("the mor tality of " * 3000).strip()
+    assert r.repair(long) == ("the mortality of " * 3000).strip()
+
+
+def test_planted_damage_is_repaired():
+    rnd = random.Random(11)
+    words = [w for w in WORDS if len(w) > 5] * 3 + ["the", "before"]
+    r = scans.Reader(counts())
+
+    def damage(w):
+        kind, at = rnd.randrange(5), rnd.randrange(2, len(w) - 1) if len(w) > 3 else 0
+        if not at or kind == 0:
+            return w + " "
+        if kind == 1:
+            return w[:at] + "-\n" + w[at:] + " "
+        if kind == 2:
+            return w[:at] + " " + w[at:] + " "
+        if kind == 3:
+            return w  # merged with the next
+        return w.replace("m", "rn", 1).replace("l", "1", 1).replace("o", "0", 1) + " "
+
+    good = total = 0
+    for _ in range(300):
+        clean = [rnd.choice(words) for _ in range(8)]
+        got = r.repair("".join(damage(w) if rnd.random() < 0.3 else w + " " for w in clean)).split()
+        good += len(set(clean) & set(got)) / len(set(clean)) * 8
+        total += 8
+    assert good / total > 0.97, good / total
+
+
+def test_counts_of_a_large_corpus_shrink(spark):
+    df = frame(spark, [("the patient " * 10 + "slip",)] * 6, "t string")
+    assert scans.count_parts(df) == {"the": 60, "patient": 60, "slip": 6}
+    assert scans.count_parts(df, reference=21) == {"the": 10, "patient": 10}
+    assert scans.count_parts(df.limit(0)) == {}
+
+
+def test_titles_beyond_the_broadcast(spark, monkeypatch):
+    df = frame(spark, [("f", f"r{i}") for i in range(40)] + [(None, "n"), ("g", "g")], "file string, record_id string")
+    titles = frame(spark, [("f", "F")], "file string, title string")
+    want = sorted((r.record_id, r.title) for r in scans.with_titles(df, titles).collect())
+    monkeypatch.setattr(scans, "MOST_TITLES", 0)
+    assert sorted((r.record_id, r.title) for r in scans.with_titles(df, titles).collect()) == want and len(want) == 42
+
+
 def test_headers_and_numbers():
     title = "Early lactate in Northtown admissions"
     assert all(scans.is_header(x, title) for x in (title, title.upper(), "Early lactate ...   12", "EARLY LACTATE IN", "Earlv lactate in".replace("v", "y"), "12   Ear1y 1actate in Northtown"))
@@ -65,8 +118,8 @@ def test_noise_rows(spark):
     titles = frame(spark, [("f", "Early lactate in Northtown admissions")], "file string, title string")
     got = sorted(r.noise_kind for r in scans.find_noise(spark, df, counts(), titles).collect())
     assert got == ["misread", "page_number", "running_header"]
-    fixed = {r.record_id: r.text for r in scans.repair_texts(spark, df, counts(), titles).collect()}
-    assert fixed == {"f:p1": "the before", "x": None, "y": " "}
+    fixed = [(r.record_id, r.text) for r in scans.repair_texts(spark, df, counts(), titles).collect()]
+    assert sorted(fixed, key=str) == [("f:p1", "the before")] * 2 + [("x", None), ("y", " ")]
     assert scans.find_noise(spark, df.limit(0), {}, titles).count() == 0
 
 
@@ -81,6 +134,11 @@ def test_pages_lose_the_printed_lines_of_their_passages(spark):
 def test_paragraphs():
     lines = [("The cohort was followed for a long time and nobody", False), ("left it before the end of the year.", True), ("Another paragraph begins here, and it goes on for", False), ("two lines.", False)]
     assert len(scans.paragraphs(lines)) == 2 and scans.paragraphs([]) == []
+    assert len(scans.paragraphs([(f"line {i} of a long paragraph that goes on and", False) for i in range(500)])) == 1
+    rnd = random.Random(12)
+    for _ in range(200):
+        some = [("x" * rnd.randrange(1, 50) + rnd.choice(["", ".", ",", " and"]), rnd.random() < 0.2) for _ in range(rnd.randrange(1, 9))]
+        assert "\n".join(scans.paragraphs(some)) == "\n".join(x for x, _ in some)
 
 
 # 2 — oversized texts
