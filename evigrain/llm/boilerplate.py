@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, MASK = 4, np.uint32(15)  # bytes the rolling hash sees; one cut in sixteen positions on average
-MOST_CHUNKS = 1_000_000  # excessive chunks that may travel in a task; beyond, they are joined by source
+MOST_CHUNKS, MOST_SOURCES = 1_000_000, 200_000  # excessive chunks, and sources with any, that are broadcast; more are joined by source, `SALTS` parts to a source
+SALTS = 32
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), seed=7) for i in range(256)], np.uint32)
 _GEAR64 = np.array([xxhash.xxh64_intdigest(bytes([i]), seed=7) | 1 for i in range(256)], np.uint64)
 _WIDE_BLANK = "[\\x{a0}\\x{2000}-\\x{200b}\\x{202f}\\x{3000}\\x{feff}]+"
@@ -115,13 +117,16 @@ def excessive_chunks(docs: DataFrame, doc: str, source: str, text: str, least: i
         for batch in batches:
             owners = _sources(batch.column(0))
             owner, _, digest, lettered = chunk_lines(batch.column(1))
-            pair = np.unique(np.stack([owner[lettered].astype(np.uint64), digest[lettered]]), axis=1) if len(owner) else np.zeros((2, 0), np.uint64)
-            names, code = np.unique([repr(o) for o in owners], return_inverse=True)
-            name_of = {repr(o): o for o in owners}
-            if pair.shape[1]:
-                keyed, counts = np.unique(np.stack([code[pair[0].astype(np.int64)].astype(np.uint64), pair[1]]), axis=1, return_counts=True)
-                for c, d, k in zip(keyed[0].tolist(), keyed[1].view(np.int64).tolist(), counts.tolist()):
-                    seen[(name_of[names[c]], d)] += k
+            owner, digest = owner[lettered], digest[lettered]
+            if len(owner):
+                number = {o: i for i, o in enumerate(dict.fromkeys(owners))}
+                names, code = list(number), np.array([number[o] for o in owners])
+                # Each chunk once for a document, then how many documents of a source have it; both by one hash of the pair.
+                once = np.unique(digest * _PAIR + owner.astype(np.uint64), return_index=True)[1]
+                source_of, digest = code[owner[once]], digest[once]
+                _, first, counts = np.unique(digest * _PAIR + source_of.astype(np.uint64), return_index=True, return_counts=True)
+                for c, d, k in zip(source_of[first].tolist(), digest[first].view(np.int64).tolist(), counts.tolist()):
+                    seen[(names[c], d)] += k
             if len(seen) > 1_000_000:
                 yield _counted(seen)
                 seen = Counter()
@@ -148,12 +153,17 @@ def repeated_lines(docs: DataFrame, doc: str = "passage_id", source: str = "sour
     """(doc, source, line_no, line): every occurrence of a line repeated excessively within its source."""
     docs = docs.select(F.col(doc).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     chunks, needed = excessive_chunks(docs, "doc", "source", "text", least, share)
-    # One row per source, with the few chunks that a source repeats: at most 16 / share long each, whatever the input.
+    # One row per source, with the chunks that it repeats: those of its documents' common lines.
     lists = chunks.groupBy("source").agg(F.collect_set("chunk").alias("chunks")).join(needed, chunks.source.eqNullSafe(needed.source)).select(chunks.source.alias("of"), "chunks", "needed").persist()
     filled = docs.where(F.col("text").isNotNull())
-    if (lists.agg(F.sum(F.size("chunks"))).first()[0] or 0) <= MOST_CHUNKS:
-        lists = F.broadcast(lists)
-    joined = filled.join(lists, F.col("source").eqNullSafe(F.col("of"))).select("doc", "source", "needed", "chunks", "text")
+    n_chunks, n_sources = lists.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0)), F.count("*")).first()
+    of = F.col("source").eqNullSafe(F.col("of"))
+    if n_chunks <= MOST_CHUNKS and n_sources <= MOST_SOURCES:
+        joined = filled.join(F.broadcast(lists), of)
+    else:
+        parts = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        joined = filled.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS))).join(parts, of & (F.col("_salt") == F.col("_part")))
+    joined = joined.select("doc", "source", "needed", "chunks", "text")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,9 +197,9 @@ def repeated_lines(docs: DataFrame, doc: str = "passage_id", source: str = "sour
 
 
 def without_lines(docs: DataFrame, lines: DataFrame, doc: str = "passage_id", text: str = "text") -> DataFrame:
-    """Each document once, its text without the lines listed, and how many went."""
+    """Each row of docs, its text without the lines listed, and how many went; rows delivered again are dropped before (plans.tables.delivered_once)."""
     gone = lines.groupBy(doc).agg(F.collect_set("line_no").alias("_gone"))
-    kept = docs.dropDuplicates([doc]).join(gone, doc, "left")
+    kept = docs.join(gone, doc, "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i + 1)), "\n"))
     return kept.withColumn(text, left).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone")

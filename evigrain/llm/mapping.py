@@ -79,6 +79,9 @@ class TermIndex:
         for name, term_id in ids.items():
             self.automaton.add_word(f" {name} ", (name, term_id))
             self.names.append((name, name.split(), term_id, _pairs(name)))
+        self.by_size: dict[int, list[tuple[str, list[str], int, int]]] = {}
+        for entry in self.names:
+            self.by_size.setdefault(sum(len(p) for p in entry[1] if p != "of"), []).append(entry)
         self.exact = ids
         joined: dict[str, set[int]] = {}
         for name, term_id in ids.items():
@@ -141,7 +144,7 @@ class TermIndex:
         bits, size = _pairs(joined), len(joined)
         fixed, numbers = sorted(t for t in tokens if exact_only(t)), digits(" ".join(tokens))
         found: list[tuple[int, float, int]] = []
-        for name, parts, term_id, own in self.names:
+        for name, parts, term_id, own in (x for n in range(size - 4, size + 5) for x in self.by_size.get(n, ())):
             parts = [p for p in parts if p != "of"]
             length = sum(map(len, parts))
             if length < 3 or abs(length - size) > 4 or name in self.acronyms or digits(name) != numbers:

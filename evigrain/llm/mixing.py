@@ -25,7 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_PATTERNS, BUCKETS = 20_000, 256
+MOST_PATTERNS = 20_000
+ROWS = 200_000  # texts of one pattern whose sizes are summed in one group
 
 
 class Flow:
@@ -131,7 +132,7 @@ def mix(spark: SparkSession, docs: DataFrame, sized: DataFrame, targets: DataFra
     """((source, doc_id, n_tokens, n_uses), (source, target_share, actual_share, …)): the mixture, and the shares reached."""
     goals = {r.source: (r.target_share, r.max_repeats) for r in targets.collect()}  # one row per source
     texts = texts_of(docs, sized, list(goals)).persist()
-    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
+    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
     patterns = {tuple(r.pattern.split("\x1f")): r.tokens for r in sums}
@@ -147,12 +148,14 @@ def mix(spark: SparkSession, docs: DataFrame, sized: DataFrame, targets: DataFra
             stretches.append(("\x1f".join(full), s, begin, begin + part, patterns[full]))
             start[full] = (begin + part) % patterns[full] if part else begin
     plan = spark.createDataFrame(stretches or [("", "", 0, 0, 1)], "pattern string, source string, begin long, end long, tape long")
-    hashed = texts.withColumn("_h", F.xxhash64(F.lit(seed), "digest")).withColumn("_b", F.shiftrightunsigned("_h", 56))
+    # The leading bits of the hash part a pattern into groups, as many as its largest number of texts asks for.
+    bits = max((r.n for r in sums), default=0) // ROWS
+    hashed = texts.withColumn("_h", F.xxhash64(F.lit(seed), "digest")).withColumn("_b", F.shiftright("_h", 64 - bits.bit_length()) if bits else F.lit(0).cast("long"))
     per = hashed.groupBy("pattern", "_b").agg(F.sum("n_tokens").alias("_s"))
     before = per.withColumn("_before", F.sum("_s").over(Window.partitionBy("pattern").orderBy("_b")) - F.col("_s")).drop("_s")
     within = F.sum("n_tokens").over(Window.partitionBy("pattern", "_b").orderBy("_h", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens")
     placed = hashed.withColumn("_in", within).join(before, ["pattern", "_b"]).withColumn("at", F.col("_in") + F.col("_before"))
-    taken = placed.join(F.broadcast(plan), "pattern")  # one row per pattern and source
+    taken = placed.join(F.broadcast(plan), "pattern")  # one row per pattern and source of it, of MOST_PATTERNS patterns at most
     # Times that the text's place on the endless tape falls into the stretch [begin, end).
     rounds = lambda x: F.floor((x - F.col("at") + F.col("tape") - 1) / F.col("tape"))
     uses = (rounds(F.col("end")) - rounds(F.col("begin"))).cast("int")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+ROWS = 200_000  # items of one size that are numbered in one group
 
 
 @dataclass
@@ -94,9 +94,11 @@ def pieces_of(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame
     return items.where(whole > 0).select(key, whole.alias("_all"), F.explode(parts).alias("_p")).select(key, (F.col("_p") + 1).cast("int").alias("piece_no"), (F.col("_p") * capacity).alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("_all") - F.col("_p") * capacity).alias("n_tokens"))
 
 
-def numbered(pieces: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """pieces with `number`, from 0 among the pieces of one size, counted per size and salt."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), F.lit(salts)))
+def numbered(pieces: DataFrame, key: str, histogram: dict[int, int], rows: int = ROWS) -> DataFrame:
+    """pieces with `number`, from 0 among the pieces of one size, counted per size and salt; a size has as many salts as its number of pieces asks for."""
+    many = {size: -(-n // rows) for size, n in histogram.items() if n > rows}
+    salts = F.coalesce(F.create_map(*[F.lit(x) for pair in many.items() for x in pair])[F.col("n_tokens")], F.lit(1)) if many else F.lit(1)
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece_no"), salts))
     sums = salted.groupBy("n_tokens", "_salt").agg(F.count("*").alias("_n"))
     before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("n_tokens").orderBy("_salt")) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("n_tokens", "_salt").orderBy(key, "piece_no")) - 1
@@ -110,7 +112,7 @@ def pack(spark: SparkSession, items: DataFrame, capacities: Sequence[int], key:
     pieces = pieces_of(items, key, size, max(capacities))
     histogram = {r.n_tokens: r.n for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # one row per size: at most the largest capacity
     plan = spark.sparkContext.broadcast(plan_bins(histogram, capacities))
-    placed = numbered(pieces, key)
+    placed = numbered(pieces, key, histogram)
     names = ["container", "capacity", key, "piece_no", "start_token", "n_tokens"]
     key_type = items.schema[key].dataType.simpleString()
 

@@ -92,13 +92,14 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
 
 
 def split_oversized(df: DataFrame, key: str, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, piece_no, start_char, end_char, cut_strength, piece): texts over the limit in pieces, each record once.
+    """(key, piece_no, start_char, end_char, cut_strength, piece): texts over the limit in pieces, one set for each row.
 
+    Rows delivered again are dropped before (plans.tables.delivered_once): here that would shuffle every text.
     Texts within the limit never reach Python; they come out whole as piece 1.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     whole = rows.where(F.length("text") <= limit).select("key", F.lit(1).alias("piece_no"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.lit(PARAGRAPH).alias("cut_strength"), F.col("text").alias("piece"))
-    return whole.unionByName(oversized_pieces(rows, "key", "text", limit, overlap)).dropDuplicates(["key", "piece_no"]).withColumnRenamed("key", key)
+    return whole.unionByName(oversized_pieces(rows, "key", "text", limit, overlap)).withColumnRenamed("key", key)
 
 
 def oversized_pieces(df: DataFrame, key: str, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

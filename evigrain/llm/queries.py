@@ -56,7 +56,7 @@ def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every page and passage within the limit, oversized ones in overlapping pieces."""
-    parts = [split_oversized(table(spark, folder, t), k).withColumnRenamed(k, "record_id").select(F.lit(t).alias("table_name"), "*") for t, k in (("page_document", "page_id"), ("passage", "passage_id"))]
+    parts = [split_oversized(delivered_once(spark, folder, t, k, "text"), k).withColumnRenamed(k, "record_id").select(F.lit(t).alias("table_name"), "*") for t, k in (("page_document", "page_id"), ("passage", "passage_id"))]
     return parts[0].unionByName(parts[1])
 
 
@@ -68,8 +68,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Every passage as its sentences."""
-    passages = table(spark, folder, "passage")
-    return split_sentences(passages, learn(passages.select("text"))).dropDuplicates(["passage_id", "sentence_no"])
+    return split_sentences(delivered_once(spark, folder, "passage", "passage_id", "text"), learn(table(spark, folder, "passage").select("text")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +100,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Each passage without those lines."""
-    passages = table(spark, folder, "passage")
+    passages = delivered_once(spark, folder, "passage", "passage_id", "source_file", "text")
     return without_lines(passages, repeated_lines(passages)).select("passage_id", "source_file", "text", "lines_removed")
 
 
@@ -170,4 +169,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,
 }
-ORACLE: dict[str, str] = {}
+_KEY = r"regexp_replace(regexp_replace(lower(line), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '', 'g'), '\p{Nd}+', '0', 'g')"
+ORACLE: dict[str, str] = {
+    "p2_found": "SELECT DISTINCT 'page_document' AS table_name, page_id AS record_id FROM page_document WHERE length(text) > 2400 UNION ALL SELECT DISTINCT 'passage', passage_id FROM passage WHERE length(text) > 2400",
+    "p7_found": f"""WITH p AS (SELECT DISTINCT passage_id, source_file, text FROM passage), l AS (SELECT passage_id, source_file, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS line_no FROM p WHERE text IS NOT NULL),
+      k AS (SELECT *, {_KEY} AS key FROM l), n AS (SELECT source_file, count(DISTINCT passage_id) AS docs FROM p GROUP BY source_file), c AS (SELECT source_file, key, count(DISTINCT passage_id) AS seen FROM k GROUP BY source_file, key)
+      SELECT DISTINCT passage_id, line_no FROM k JOIN c ON k.source_file IS NOT DISTINCT FROM c.source_file AND k.key = c.key JOIN n ON k.source_file IS NOT DISTINCT FROM n.source_file WHERE seen >= 8 AND seen >= 0.1 * docs AND regexp_matches(line, '\\p{{L}}')""",
+}

@@ -159,7 +159,7 @@ def test_pieces_round_trip():
 
 
 def test_pieces_rows(spark):
-    df = frame(spark, [("a", "x" * 50), ("a", "x" * 50), ("b", None), ("c", ""), ("d", "short")], "id string, text string")
+    df = frame(spark, [("a", "x" * 50), ("b", None), ("c", ""), ("d", "short")], "id string, text string")
     got = pieces.split_oversized(df, "id", limit=20, overlap=5).orderBy("id", "piece_no").collect()
     assert [(r.id, r.piece_no) for r in got] == [("a", 1), ("a", 2), ("a", 3), ("c", 1), ("d", 1)]
     with pytest.raises(ValueError):
@@ -291,7 +291,7 @@ def test_truncation(spark):
 # 7 — repeated lines
 
 
-def test_repeated_lines_match_brute_force(spark):
+def test_repeated_lines_match_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     usual = ["Share this page", "Reading time 12 min", "– 3 –", "ok", "All rights stay with us."]
     rows = []
@@ -310,9 +310,11 @@ def test_repeated_lines_match_brute_force(spark):
     df = frame(spark, rows, "passage_id string, source_file string, text string")
     lines = boilerplate.repeated_lines(df)
     assert {(r.passage_id, r.line_no) for r in lines.collect()} == want and want
-    clean = {r.passage_id: r for r in boilerplate.without_lines(df, lines.distinct()).collect()}
+    clean = {r.passage_id: r for r in boilerplate.without_lines(df.distinct(), lines.distinct()).collect()}
     assert len(clean) == 300 and sum(r.lines_removed for r in clean.values()) == len(want)
     assert boilerplate.repeated_lines(df.limit(0)).count() == 0
+    monkeypatch.setattr(boilerplate, "MOST_CHUNKS", 0)  # the same by a join with salted sources
+    assert {(r.passage_id, r.line_no) for r in boilerplate.repeated_lines(df).collect()} == want
 
 
 def test_chunks_depend_on_the_line_alone():
@@ -351,6 +353,12 @@ def test_packing(spark):
                 room[left] = room.get(left, 0) + 1
             assert len(fill) == opened
     assert packing.pack(spark, df.limit(0), [8]).count() == 0
+    sized = df.where("n_tokens > 0").select("doc_id", F.lit(1).alias("piece_no"), "n_tokens")
+    histogram = {r.n_tokens: r["count"] for r in sized.groupBy("n_tokens").count().collect()}
+    got: dict[int, list[int]] = {}
+    for r in packing.numbered(sized, "doc_id", histogram, rows=100).collect():
+        got.setdefault(r.n_tokens, []).append(r.number)
+    assert all(sorted(v) == list(range(histogram[s])) for s, v in got.items()) and len(got) == len(histogram)
     with pytest.raises(ValueError):
         packing.pack(spark, df, [])
 
@@ -359,6 +367,10 @@ def test_tokens_of_long_texts():
     try:
         assert tokens.count_tokens(None) == 0 and tokens.count_tokens("") == 0
         assert tokens.count_tokens("word " * 20_000) >= 20_000
+        encode, rnd = tokens.encoding(tokens.VOCABULARY).encode_ordinary, random.Random(13)
+        for parts in (["word", " ", "  ", "\n", "don't", "12", "é"], ["日本", "語", "。", "、", "1", "「", "」"], ["ผู้ป่วย", "ทั้งหมด"], ["a", "b"]):
+            text = "".join(rnd.choice(parts) for _ in range(30_000))
+            assert tokens.count_tokens(text) == len(encode(text))
     except FileNotFoundError:
         pytest.skip("no vocabulary file")
 
@@ -372,7 +384,7 @@ def test_flow_prefers_few_repetitions():
     assert mixing.solve({}, {"a": 1.0}, {"a": 2}) == (0, {}) and mixing.solve({("a",): 10}, {"a": 0.5, "none": 0.5}, {"a": 2, "none": 1})[0] == 20
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     rnd = random.Random(6)
     docs = [(i, rnd.choice("aaab"), f"text {i} " + "x " * rnd.randrange(30)) for i in range(600)] + [(1000 + i, "c", f"text {i} ") for i in range(3)] + [(2000, "other", "z"), (2001, None, "z"), (2002, "a", None), (2003, "a", "")]
     df = frame(spark, docs, "doc_id long, source string, text string")
@@ -381,6 +393,9 @@ def test_mixture(spark):
     chosen, shares = mixing.mix(spark, df, sized, targets)
     s = {r.source: r for r in shares.collect()}
     assert abs(s["a"].actual_share - 0.5) < 0.02 and abs(s["b"].actual_share - 0.5) < 0.02 and s["gone"].tokens == 0
+    monkeypatch.setattr(mixing, "ROWS", 50)  # more groups, the same tape
+    again = {r.source: r.tokens for r in mixing.mix(spark, df, sized, targets)[1].collect()}
+    assert again == {k: r.tokens for k, r in s.items()}
     assert s["a"].most_uses <= 1 and s["b"].most_uses <= 4 and chosen.groupBy("source", "doc_id").count().where("count > 1").count() == 0
 
 
