@@ -137,12 +137,36 @@ class Region(NamedTuple):
     gaps: tuple[tuple[str, str] | None, ...]
 
 
-def regions(text: str, doubt: Callable[[str], bool], breaks: list[tuple[str, str, str, str]]) -> Iterator[Region]:
+def token_before(text: str, at: int) -> tuple[int, int]:
+    """Where the last token before a place stands; empty if there is none."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin and not text[begin - 1].isspace():
+        begin -= 1
+    return begin, end
+
+
+def token_after(text: str, at: int) -> tuple[int, int]:
+    m = _TOKEN.search(text, at)
+    return m.span() if m else (len(text), len(text))
+
+
+def occurrences(text: str, tokens: set[str]) -> list[tuple[int, int]]:
+    """Where these tokens stand in the text, in order."""
+    out = []
+    for token in tokens:
+        at, size = text.find(token), len(token)
+        while at >= 0:
+            if (not at or text[at - 1].isspace()) and (at + size == len(text) or text[at + size].isspace()):
+                out.append((at, at + size))
+            at = text.find(token, at + size)
+    return sorted(out)
+
+
+def regions(text: str, doubtful: set[str], breaks: list[tuple[str, str, str, str]]) -> Iterator[Region]:
     """Every run of doubtful tokens with the neighbours on either side that neither punctuation nor a blank line parts from it."""
-    judged = {t: doubt(t) for t in set(text.split())}
-    if not any(judged.values()):
-        return
-    tokens = [(m[0], m.start()) for m in _TOKEN.finditer(text)]
     marks = iter(breaks)
     atoms: list[str] = []
     spans: list[tuple[int, int]] = []
@@ -155,45 +179,48 @@ def regions(text: str, doubt: Callable[[str], bool], breaks: list[tuple[str, str
         spans.clear()
         gaps.clear()
 
-    def beside(i: int) -> bool:
-        """Whether tokens i and i + 1 may hold one word."""
-        (a, at), (b, then) = tokens[i], tokens[i + 1]
-        return a[-1].isalnum() and b[0].isalnum() and text.count("\n", at + len(a), then) < 2
-
-    for i in [i for i, (t, _) in enumerate(tokens) if judged[t]]:
-        token, at = tokens[i]
-        if i and beside(i - 1):
-            if not atoms and (own := parts_at(tokens[i - 1][0])):
-                before, start = tokens[i - 1]
-                atoms.append(before[own[-1][0] : own[-1][1]])
-                spans.append((start + own[-1][0], start + own[-1][1]))
+    def add(begin: int, end: int, own: tuple[int, int]) -> None:
+        atoms.append(text[begin + own[0] : begin + own[1]])
+        spans.append((begin + own[0], begin + own[1]))
+
+    def beside(a: tuple[int, int], b: tuple[int, int]) -> bool:
+        """Whether two tokens that follow each other may hold one word."""
+        return a[0] < a[1] and b[0] < b[1] and text[a[1] - 1].isalnum() and text[b[0]].isalnum() and text.count("\n", a[1], b[0]) < 2
+
+    places = occurrences(text, doubtful)
+    for i, (begin, end) in enumerate(places):
+        before = token_before(text, begin)
+        if beside(before, (begin, end)):
+            if not atoms and (own := parts_at(text[before[0] : before[1]])):
+                add(*before, own[-1])
         else:
             yield from flush()
+        token = text[begin:end]
         for j, (b, e) in enumerate(parts_at(token)):
             if j:
                 yield from flush()
             for k, half in enumerate(token[b:e].split(BREAK)):
-                gap, place = None, (at + b, at + b + len(half))
+                gap, place = None, (begin + b, begin + b + len(half))
                 if k:
                     left, *gap, right = next(marks)
                     # Writing without blanks has no parts; there the halves are what stands beside the mark.
                     if not atoms[-1]:
                         atoms[-1], spans[-1] = left, (spans[-1][1] - len(left), spans[-1][1])
                     half, gap = half or right, tuple(gap)
-                    place = (at + b, at + b + len(half))
+                    place = (begin + b, begin + b + len(half))
                 if atoms:
                     gaps.append(gap)
                 atoms.append(half)
                 spans.append(place)
                 b += len(half) + 1
-        if i + 1 < len(tokens) and judged[tokens[i + 1][0]]:
+        after = token_after(text, end)
+        following = places[i + 1] if i + 1 < len(places) else (len(text), len(text))
+        if after == following and after[0] < after[1]:
             continue
-        if atoms and i + 1 < len(tokens) and beside(i) and (own := parts_at(tokens[i + 1][0])):
-            after, start = tokens[i + 1]
+        if atoms and beside((begin, end), after) and (own := parts_at(text[after[0] : after[1]])):
             gaps.append(None)
-            atoms.append(after[own[0][0] : own[0][1]])
-            spans.append((start + own[0][0], start + own[0][1]))
-            if len(own) == 1 and i + 2 < len(tokens) and judged[tokens[i + 2][0]] and beside(i + 1):
+            add(*after, own[0])
+            if len(own) == 1 and token_after(text, after[1]) == following and beside(after, following):
                 continue  # the neighbour of both
         yield from flush()
 
@@ -266,15 +293,16 @@ class Reader:
             return BREAK
 
         hyphen = bad = False
-        for r in regions(mend(text.replace(BREAK, " "), note), self.doubtful, breaks):
+        marked = mend(text.replace(BREAK, " "), note)
+        for r in regions(marked, self.doubtful(marked), breaks):
             # What can tell nothing new is not decoded.
             if not (bad and (hyphen or not any(r.gaps))):
                 for _, _, joined, confused in self.path(r.atoms, r.gaps):
                     hyphen, bad = hyphen or joined, bad or confused is not None
         return hyphen, bad
 
-    def doubtful(self, token: str) -> bool:
-        return token not in self.clean and not self.certain(token)
+    def doubtful(self, text: str) -> set[str]:
+        return {t for t in set(text.split()) - self.clean if not self.certain(t)}
 
     def certain(self, token: str) -> bool:
         """Whether the token is beyond doubt: no break, and every part frequent or no word of Latin letters, and none misread."""
@@ -372,7 +400,7 @@ class Reader:
             return first + "".join(kept[before + i] + part for i, part in enumerate(rest))
 
         out, last = [], 0
-        for r in regions(marked, self.doubtful, breaks):
+        for r in regions(marked, self.doubtful(marked), breaks):
             if r.spans[0][0] >= last:
                 out += (plain(last, r.spans[0][0]), self._written(r, plain))
                 last = r.spans[-1][1]
@@ -410,6 +438,7 @@ _MARKED = re.compile(r"^\s*(?:[-–—]\s*\S+\s*[-–—]|\[\S+\]|p(?:age|g)?\.?
 _AT_EDGE = re.compile(r"^\s*(?:[-–—\[]\s*)?([\dlIOoSBZ]{1,5})(?:\s*[-–—\]|])?\s{2,}(?=\S)|(?<=\S)\s{2,}(?:[-–—\[|]\s*)?([\dlIOoSBZ]{1,5})\s*(?:[-–—\]])?\s*$")
 
 
+@lru_cache(100_000)
 def fold(text: str) -> str:
     """A line as strokes, without blanks and punctuation, for comparing a scanned header with a title."""
     return re.sub(r"[^\w!|@$]+|_", "", text.lower()).translate(STROKES)
@@ -449,6 +478,8 @@ def without_number(line: str) -> tuple[str, bool]:
 
 def is_header(line: str, title: str | None) -> bool:
     """Whether a line carries the title, a shortened title or a journal's name."""
+    if len(line) > HEADER and len("".join(line.split())) > HEADER + 20:
+        return False  # a page number has a few signs only
     bare, _ = without_number(line)
     bare = re.sub(r"(\.{2,}|…)\s*$", "", bare.strip()).strip()
     words = bare.split()
