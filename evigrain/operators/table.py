@@ -46,16 +46,25 @@ def in_order(table: DataFrame) -> DataFrame:
     return table.orderBy("support_status", "study_name", "predictor", *TIES)
 
 
-def rank(table: DataFrame, question: str | None) -> DataFrame:
-    """table with _relevance, best first; rows of relevance 0 go, unless all have it or the question is blank.
+def relevant(table: DataFrame, question: str | None) -> DataFrame:
+    """table with _relevance; rows of relevance 0 go, unless all have it or the question is blank.
 
-    Whether any row is relevant is one aggregate with one row, not a window over a single partition.
+    Whether any row is relevant is one aggregate with one row; each task looks no further than its first such row.
     """
     scored = table.withColumn("_relevance", row_relevance(expand(question)) if (question or "").strip() else F.lit(0.0))
     if (question or "").strip():
-        best = scored.agg(F.max("_relevance").alias("_best"))
-        scored = scored.crossJoin(F.broadcast(best)).where((F.col("_relevance") > 0) | (F.col("_best") <= 0)).drop("_best")
-    return scored.orderBy(F.desc("_relevance"), "support_status", "study_name", "predictor", *TIES)
+        some = scored.where("_relevance > 0").select(F.lit(1).alias("one")).limit(1).agg(F.count("*").alias("_some"))
+        scored = scored.crossJoin(F.broadcast(some)).where((F.col("_relevance") > 0) | (F.col("_some") == 0)).drop("_some")
+    return scored
+
+
+def in_rank(table: DataFrame) -> DataFrame:
+    """Relevant rows, best first."""
+    return table.orderBy(F.desc("_relevance"), "support_status", "study_name", "predictor", *TIES)
+
+
+def rank(table: DataFrame, question: str | None) -> DataFrame:
+    return in_rank(relevant(table, question))
 
 
 def facet_options(table: DataFrame, column: str) -> DataFrame:

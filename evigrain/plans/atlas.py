@@ -37,5 +37,6 @@ class Answer:
 
 def ask(evidence: DataFrame, question: str, **facets: Sequence[str]) -> Answer:
     """A question to a repaired table: ranked as a whole, then filtered, measured and reviewed."""
-    ranked = table.facet_filter(table.rank(evidence, question), **facets)
-    return Answer(ranked, table.result_table(ranked), table.result_metrics(ranked), table.source_review(ranked))
+    found = table.facet_filter(table.relevant(evidence, question), **facets)
+    ranked = table.in_rank(found)
+    return Answer(ranked, table.result_table(ranked), table.result_metrics(found), table.source_review(found))

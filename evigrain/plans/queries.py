@@ -245,7 +245,7 @@ def sidebar_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def result_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.result_metrics(evidence.facet_filter(evidence.rank(rows(spark, folder), DEFAULT_QUESTION), support_status=["supported", "partial"]))
+    return evidence.result_metrics(evidence.facet_filter(evidence.relevant(rows(spark, folder), DEFAULT_QUESTION), support_status=["supported", "partial"]))
 
 
 @query
@@ -256,7 +256,7 @@ def result_table(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def unique_source_review(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct source with the rank value of its first row."""
-    return evidence.source_review(evidence.rank(rows(spark, folder), DEFAULT_QUESTION), None).select("source_key", F.col("_relevance").alias("relevance"), "support_status")
+    return evidence.source_review(evidence.relevant(rows(spark, folder), DEFAULT_QUESTION), None).select("source_key", F.col("_relevance").alias("relevance"), "support_status")
 
 
 @query
