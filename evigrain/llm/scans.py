@@ -236,7 +236,10 @@ class Reader:
             if not word.isdigit() and word.isalpha():
                 key = word.translate(STROKES)
                 self.alike[key] = max(self.alike.get(key, (0, "")), (n, word))
-        self.heads = {word.translate(STROKES)[:HEAD] for word in counts}
+        self.heads: dict[str, int] = {}  # beginning in strokes -> strokes of the longest word that begins so
+        for word in counts:
+            key = word.translate(STROKES)
+            self.heads[key[:HEAD]] = max(len(key), self.heads.get(key[:HEAD], 0))
         self.longest = max(map(len, counts), default=0)
         self.clean: set[str] = set()
         self.reading = lru_cache(300_000)(self._reading)
@@ -326,7 +329,7 @@ class Reader:
         size, low = len(chars), chars.lower()
         low = low if len(low) == size else chars
         edges = {0, *ends}
-        inner = sorted(g for g in ends if g < size)
+        inner, broken_up = sorted(g for g in ends if g < size), any(gaps)
         whole = {b: e for b, e in zip((0, *ends), ends)}
         keys = [c.translate(STROKES) for c in low]
         key_at = [0, *accumulate(map(len, keys))]
@@ -336,20 +339,26 @@ class Reader:
             if cost[begin] == math.inf:
                 continue
             low_key = key_at[begin]
-            if strokes[low_key : low_key + HEAD] in self.heads:
-                reach = [*range(begin + 1, min(size, begin + self.longest) + 1)]
-                reach += [e for e in (whole.get(begin, 0),) if e > begin + self.longest]
+            if far := self.heads.get(strokes[low_key : low_key + HEAD]):
+                last = bisect_right(key_at, low_key + far) - 1
+                reach = [*range(begin + 1, last + 1)]
             else:
-                # No counted word begins like this, but for short ones; what may be unknown runs from edge to edge.
-                reach = [e for e in range(begin + 1, min(size, begin + HEAD) + 1) if key_at[e] - low_key < HEAD or (begin in edges and e in edges)]
-                reach += [e for e in ends if e > begin + HEAD and begin in edges and (e <= begin + self.longest or whole[begin] == e)]
+                # No counted word begins like this, but for short ones.
+                last = min(size, begin + HEAD)
+                reach = [e for e in range(begin + 1, last + 1) if key_at[e] - low_key < HEAD or (begin in edges and e in edges)]
+            if begin in edges:
+                # What may be unknown runs from edge to edge.
+                reach += [e for e in ends if e > last and (e <= begin + self.longest or whole[begin] == e)]
             for end in reach:
                 atom = whole.get(begin) == end
-                crossed = () if atom else inner[bisect_right(inner, begin) : bisect_left(inner, end)]
                 n, confused = self.counts.get(low[begin:end], 0), None
                 key = "" if atom else strokes[low_key : key_at[end]]
-                marked = any(ends[g] for g in crossed)
-                if not (atom or marked or n >= LEAST or key in self.alike):
+                likely = atom or n >= LEAST or key in self.alike
+                if not likely and not broken_up:
+                    continue
+                crossed = () if atom else inner[bisect_right(inner, begin) : bisect_left(inner, end)]
+                marked = broken_up and any(ends[g] for g in crossed)
+                if not (likely or marked):
                     continue
                 piece = chars[begin:end]
                 if atom and not n and not piece.isalpha():
@@ -446,8 +455,19 @@ def fold(text: str) -> str:
 
 def edge_lines(text: str, reach: int = 2) -> list[tuple[int, str]]:
     """(number, line) of the first and last non-blank lines."""
-    filled = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
-    return filled[:reach] + [x for x in filled[-reach:] if x not in filled[:reach]]
+    lines = text.split("\n")
+    head: list[tuple[int, str]] = []
+    tail: list[tuple[int, str]] = []
+    i, j = 0, len(lines) - 1
+    while i <= j and len(head) < reach:
+        if lines[i].strip():
+            head.append((i, lines[i]))
+        i += 1
+    while j >= i and len(tail) < reach:
+        if lines[j].strip():
+            tail.append((j, lines[j]))
+        j -= 1
+    return head + tail[::-1]
 
 
 def number_line(line: str) -> str | None:
@@ -462,8 +482,8 @@ def number_line(line: str) -> str | None:
 
 def page_number_lines(text: str) -> list[int]:
     """Which lines at the edge of a record are its page number: a bare number stands alone there, one below another is a column of a table."""
-    filled = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
-    found = {i for i, x in filled[:2] + filled[-2:] if len(x) < 40 and _MARKED.match(x) and number_line(x)}
+    filled = edge_lines(text)
+    found = {i for i, x in filled if len(x) < 40 and _MARKED.match(x) and number_line(x)}
     for at, beside in ((0, 1), (-1, -2)):
         if filled and len(filled[at][1]) < 40 and number_line(filled[at][1]) and not (len(filled) > 1 and number_line(filled[beside][1])):
             found.add(filled[at][0])
@@ -539,6 +559,7 @@ def find_noise(spark: SparkSession, records: DataFrame, counts: dict[str, int],
     return titled.mapInArrow(kinds, "table_name string, record_id string, noise_kind string").distinct()
 
 
+_STOPS = frozenset(".!?。！？।؟…:")
 SHORT = 60  # characters of a paragraph that is worth one
 
 
@@ -554,7 +575,7 @@ def paragraphs(lines: list[tuple[str, bool]]) -> list[str]:
         line, blank = lines[i]
         bare, follows = line.rstrip(), lines[i + 1][0].lstrip()
         c = 1.0
-        c += -1.5 if re.search(r"[.!?。！？।؟…:][\"')\]”»]*$", bare) else 2.0
+        c += -1.5 if bare.rstrip("\"')]”»")[-1:] in _STOPS else 2.0
         c += -1.0 if len(bare) < 0.7 * width else 0.8
         c += 1.5 if follows[:1].islower() else -0.3
         c += -2.0 if blank else 0.0
@@ -591,13 +612,17 @@ def printed_lines(text: str, title: str | None) -> set[int]:
 
 def lines_in_place(text: str, title: str | None) -> list[str]:
     """Each printed line of a passage between the lines before and after it, by which its page finds it again."""
-    filled, gone = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()], printed_lines(text, title)
+    if not (gone := printed_lines(text, title)):
+        return []
+    filled = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
     beside = ["", *(x for _, x in filled), ""]
     return ["\n".join(beside[k : k + 3]) for k, (i, _) in enumerate(filled) if i in gone]
 
 
 def placed_lines(text: str, places: list[str]) -> set[int]:
     """The lines of a page that its passages have at their edges; one without a line beside it must be the only one like it."""
+    if not places:
+        return set()
     filled = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
     beside, out = ["", *(x for _, x in filled), ""], set()
     for before, line, after in (p.split("\n") for p in places):
