@@ -52,7 +52,8 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # Blanks go first, so that a number is a run of digits with no blank seen between; digits parted by a blank stay two numbers.
     again = np.zeros(len(data), bool)
     again[1:] = digit[1:] & digit[:-1]
-    again[np.minimum(offsets[:-1], max(len(data) - 1, 0))] = False
+    if len(data):
+        again[np.minimum(offsets[:-1], len(data) - 1)] = False
     keep = solid & ~again
     kept = np.concatenate([[0], np.cumsum(keep)])
     out = np.where(digit, np.uint8(48), data)[keep]
@@ -199,7 +200,7 @@ def repeated_lines(docs: DataFrame, doc: str = "passage_id", source: str = "sour
 def without_lines(docs: DataFrame, lines: DataFrame, doc: str = "passage_id", text: str = "text") -> DataFrame:
     """Each row of docs, its text without the lines listed, and how many went; rows delivered again are dropped before (plans.tables.delivered_once)."""
     gone = lines.groupBy(doc).agg(F.collect_set("line_no").alias("_gone"))
-    kept = docs.join(gone, doc, "left")
+    kept = docs.drop("_gone").join(gone, doc, "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i + 1)), "\n"))
     return kept.withColumn(text, left).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone")

@@ -335,6 +335,7 @@ class Reader:
         key_at = [0, *accumulate(map(len, keys))]
         strokes = "".join(keys)
         cost, back = [0.0] + [math.inf] * size, [(0, False, None)] * (size + 1)
+        counts, alike = self.counts, self.alike
         for begin in range(size):
             if cost[begin] == math.inf:
                 continue
@@ -351,9 +352,9 @@ class Reader:
                 reach += [e for e in ends if e > last and (e <= begin + self.longest or whole[begin] == e)]
             for end in reach:
                 atom = whole.get(begin) == end
-                n, confused = self.counts.get(low[begin:end], 0), None
-                key = "" if atom else strokes[low_key : key_at[end]]
-                likely = atom or n >= LEAST or key in self.alike
+                n, confused = counts.get(low[begin:end], 0), None
+                close = atom or strokes[low_key : key_at[end]] in alike
+                likely = close or n >= LEAST
                 if not likely and not broken_up:
                     continue
                 crossed = () if atom else inner[bisect_right(inner, begin) : bisect_left(inner, end)]
@@ -364,7 +365,7 @@ class Reader:
                 if atom and not n and not piece.isalpha():
                     n = self.counts.get(counted(piece), 0)
                 price = self.total - math.log(n) if n else self.total + UNKNOWN * len(piece)
-                if (r := self.reading(piece) if atom or key in self.alike else None) and r[1] < price:
+                if (r := self.reading(piece) if close else None) and r[1] < price:
                     confused, price = r
                 if not atom:
                     if n < LEAST and confused is None and not (marked and begin in edges and end in edges and all(ends[g] for g in crossed)):
@@ -496,10 +497,15 @@ def without_number(line: str) -> tuple[str, bool]:
     return (line[: m.start()] + line[m.end() :], True) if m else (line, False)
 
 
+def too_long(line: str) -> bool:
+    """Whether a line has too many characters, blanks aside, for a header and a page number; its beginning tells of most lines."""
+    return len(line) > HEADER and (len("".join(line[: 4 * HEADER].split())) > HEADER + 20 or len("".join(line.split())) > HEADER + 20)
+
+
 def is_header(line: str, title: str | None) -> bool:
     """Whether a line carries the title, a shortened title or a journal's name."""
-    if len(line) > HEADER and len("".join(line.split())) > HEADER + 20:
-        return False  # a page number has a few signs only
+    if too_long(line):
+        return False
     bare, _ = without_number(line)
     bare = re.sub(r"(\.{2,}|…)\s*$", "", bare.strip()).strip()
     words = bare.split()
@@ -534,8 +540,7 @@ def find_noise(spark: SparkSession, records: DataFrame, counts: dict[str, int],
                 if not text or text.isspace():
                     continue
                 hyphen, misread = reader.damage(text)
-                # Without its blanks a header has at most HEADER characters and its page number.
-                lines = [line for _, x in edge_lines(text) if len(line := re.sub(r"\s{3,}", "   ", x.strip())) <= HEADER + 40]
+                lines = [re.sub(r"\s{3,}", "   ", x) for _, x in edge_lines(text) if not too_long(x)]
                 out.append((name, key, file, bool(page_number_lines(text)), hyphen, misread, lines))
             columns = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -544,7 +549,7 @@ def find_noise(spark: SparkSession, records: DataFrame, counts: dict[str, int],
     names = ["table_name", "record_id", "file", "numbered", "hyphen", "misread", "lines"]
     seen = records.select("table_name", "record_id", "file", "text").mapInArrow(scan, "table_name string, record_id string, file string, numbered boolean, hyphen boolean, misread boolean, lines array<string>")
     # Only the few lines at a record's edges meet the titles, never its text.
-    titled = seen.join(titles.withColumnRenamed("file", "of"), F.col("file") == F.col("of"), "left").drop("of", "file")
+    titled = seen.join(titles.select(F.col("file").alias("of"), "title"), F.col("file") == F.col("of"), "left").drop("of", "file")
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -664,7 +669,7 @@ def repair_texts(spark: SparkSession, records: DataFrame, counts: dict[str, floa
             columns = zip(*out) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["page_id", "place"])
 
-    titled = with_titles(records, titles).select("table_name", "record_id", "text", "title")
+    titled = with_titles(records.select("table_name", "record_id", "file", "text"), titles.select("file", "title")).select("table_name", "record_id", "text", "title")
     # A page loses the printed lines of its passages too, wherever in the page their edges fall; only those lines are joined.
     passages = titled.where("table_name = 'passage' and text is not null").select(F.regexp_replace("record_id", r":c\d+$", "").alias("page_id"), "text", "title")
     placed = passages.mapInArrow(places, "page_id string, place string").groupBy("page_id").agg(F.collect_set("place").alias("places"))

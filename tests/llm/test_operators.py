@@ -399,6 +399,36 @@ def test_mixture(spark, monkeypatch):
     assert s["a"].most_uses <= 1 and s["b"].most_uses <= 4 and chosen.groupBy("source", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_other_columns_change_nothing(spark):
+    """Columns with the names that the operators use within, and nulls in every column."""
+    names = "key n lang title places file of _gone lines count odds inner cut score flagged piece piece_no n_items container capacity number members pattern digest _salt _h at word next total one lines_removed sentence_no".split()
+    more = lambda df: df.select("*", *(F.lit("x").alias(c) for c in names if c not in df.columns))
+    same = lambda a, b, keep: sorted(map(str, a.select(*keep).collect())) == sorted(map(str, b.select(*keep).collect()))
+    texts = frame(spark, [("a", "s", "The end. It was so. " * 20 + "\nShare it"), ("b", None, None), (None, None, "x\nShare it"), ("c", "s", "")], "passage_id string, source_file string, text string")
+    assert same(pieces.split_oversized(texts, "passage_id", limit=100, overlap=9), pieces.split_oversized(more(texts), "passage_id", limit=100, overlap=9), ["passage_id", "piece_no", "piece"])
+    m = sentences.learn(texts.select("text"))
+    assert same(sentences.split_sentences(texts, m), sentences.split_sentences(more(texts), m), ["passage_id", "end_char"])
+    lines = boilerplate.repeated_lines(texts, least=1)
+    assert same(lines, boilerplate.repeated_lines(more(texts), least=1), ["passage_id", "line_no"]) and lines.count() > 1
+    assert same(boilerplate.without_lines(texts, lines), boilerplate.without_lines(more(texts), lines), ["passage_id", "text"])
+    records = texts.select(F.lit("passage").alias("table_name"), F.col("passage_id").alias("record_id"), F.col("source_file").alias("file"), "text")
+    titles = frame(spark, [("s", "Share it all")], "file string, title string")
+    for run, keep in ((scans.find_noise, ["record_id", "noise_kind"]), (scans.repair_texts, ["record_id", "text"])):
+        assert same(run(spark, records, counts(), titles), run(spark, more(records), counts(), more(titles)), keep)
+    rows = frame(spark, [(1, "s", "A text.", "28-day mort", "{"), (2, None, None, None, None), (None, "s", "A text", "x", "{}")], "row_id long, source_file string, source_anchor string, outcome string, field_sources_json string")
+    assert same(truncation.find_truncated(spark, rows), truncation.find_truncated(spark, more(rows)), ["row_id", "field_name", "odds", "cut"])
+    docs = frame(spark, [(1, "a", "you idiot"), (2, None, None), (None, "a", "fine"), (3, "b", "x" * 200_000)], "doc_id long, source string, text string")
+    rated = frame(spark, [(1, "r", 1), (3, "r", 0), (None, "r", 1), (2, None, None)], "doc_id long, rater string, toxic int")
+    assert same(toxicity.score_documents(spark, docs, rated), toxicity.score_documents(spark, more(docs), more(rated)), ["doc_id", "score", "flagged"])
+    sized = docs.select("doc_id", F.length("text").alias("n_tokens"))
+    assert same(packing.pack(spark, sized, [50]), packing.pack(spark, more(sized), [50]), ["doc_id", "piece_no", "n_tokens"])
+    targets = frame(spark, [("a", 0.5, 2), ("b", 0.5, None), (None, None, None)], "source string, target_share double, max_repeats int")
+    assert same(mixing.mix(spark, docs, sized, targets)[1], mixing.mix(spark, more(docs), more(sized), more(targets))[1], ["source", "tokens"])
+    values = frame(spark, [(1, "Age; x", "Age"), (2, None, None), (None, "Age", "")], "row_id long, predictor string, outcome string")
+    terms = frame(spark, [(7, "predictor", "Age", None), (None, None, None, None)], "term_id int, field_name string, term_name string, aliases string")
+    assert same(mapping.map_fields(values, terms), mapping.map_fields(more(values), more(terms)), ["row_id", "field_name", "item_no", "term_id"])
+
+
 # 10 — offending content
 
 
