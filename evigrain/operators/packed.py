@@ -190,9 +190,8 @@ def split_array(values: pa.Array, plain: bool, guard: NameGuard) -> pa.ListArray
         drop |= cut & _flag(pc.match_substring_regex(pieces, PLAIN_QUALIFIER))
     drop &= ~np.isin(before[np.minimum(begins, len(data) - 1)], (34, 39, 6))  # a value in quotation marks ends with them
     if guard.halves:
-        ends = np.append(begins[1:], offsets[-1])
         for i in np.flatnonzero(cut & ~drop & weak[np.minimum(begins, len(data) - 1)]):
-            if ends[i] - begins[i] < 60 and guard.joins(pieces[i - 1].as_py(), pieces[i].as_py()):
+            if guard.joins(pieces[i - 1].as_py(), pieces[i].as_py()):
                 drop[i] = True
     begins, cut = begins[~drop], cut[~drop]
     keep = np.ones(len(data) + 1, np.int64)

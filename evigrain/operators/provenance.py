@@ -128,4 +128,4 @@ def with_pdf(rows: DataFrame, files: DataFrame, folder: str = "articles") -> Dat
     tried = asked.select("*", F.posexplode(pdf_candidates(*(F.col(f"_{n}") for n in names), folder)).alias("_place", "_path"))
     found = tried.join(known, "_path").groupBy(*(f"_{n}" for n in names)).agg(F.min_by("_path", "_place").alias("pdf_path"))
     same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
-    return rows.join(found, same[0] & same[1] & same[2], "left").drop(*(f"_{n}" for n in names))
+    return rows.drop("pdf_path").join(found, same[0] & same[1] & same[2], "left").drop(*(f"_{n}" for n in names))
