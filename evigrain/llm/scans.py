@@ -56,7 +56,7 @@ _PARTS = re.compile("[-/–—‐+=·_’'\u0e00-\u0e7f\u3000-\u9fff\uac00-\ud7a
 _CLEAN_NUMBER = re.compile(r"[+\-–<>=≤≥~±]*\d[\d.,:%°]*")
 _NUMBERISH = re.compile(r"[+\-–<>=]*[\dlIi|!OoSsBZzgq.,:]*\d[\dlIi|!OoSsBZzgq.,:]*%?|[SZBlIOo]\.\d+%?|\d+\.[SZBlIOo]%?|[SZBlIOo]{1,2}%")
 _ODD_INSIDE = re.compile(r"[^\W\d_][0-9!|@$]+[^\W\d_]|^[0-9!|@$][^\W\d_]{3,}|[^\W\d_]{3,}[0|@$]$|[^\W\d_][!]$")
-_GAP = re.compile(r"(?<=[\w!@|$])([-\xad‐¬])([ \t]*\n[ \t\n]*|[ \t]+)(?=[\w!@|$])")
+_GAP = re.compile(r"([-\xad‐¬])(?<=[\w!@|$][-\xad‐¬])([ \t]*\n[ \t\n]*|[ \t]+)(?=[\w!@|$])")
 _TOKEN = re.compile(r"\S+")
 _AFTER = re.compile(r"[\w!@|$]+")
 _CODE = re.compile(r"[A-Z]\d")
