@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,7 @@ def languages(text: str, tokens: list[str]) -> tuple[str, bool]:
     return top[0][0], foreign or top[1][1] > 2
 
 
+@lru_cache(200_000)
 def word_type(token: str) -> str:
     """The word as counted: lower case, without marks around it; numbers are one word.  A final period stays."""
     bare = token.strip(_EDGE)
@@ -307,7 +309,7 @@ def _bounded(df: DataFrame) -> list:
 _ANY = "".join(re.escape(c) for c in CLOSERS)
 _MARK = re.compile(rf"[.!?。！？।॥؟…;]+[{_ANY}]*")
 _THAI_GAP = re.compile(r"(?<=\S)\s+(?=\S)")
-_QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|(?<!\w)\"[^\"]*\"(?!\w)|【[^【】]*】")
+_QUOTED = re.compile(r"„[^“”„]*[“”]|“[^“”]*”|«[^«»]*»|「[^「」]*」|『[^『』]*』|（[^（）]*）|\([^()]*\)|\[[^\[\]]*\]|\"(?<!\w\")[^\"]*\"(?!\w)|【[^【】]*】")
 _WIDE_END = "。！？।॥"
 
 
@@ -353,6 +355,8 @@ class Splitter:
         start, s, size = 0, 0, len(text)
         for m in _MARK.finditer(text):
             at, end = m.span()
+            if end < size and text[at] == "." and (text[end].isdigit() or text[end].islower()):
+                continue  # within a number or a word
             while s < len(spans) and spans[s][1] <= at:
                 s += 1
             if s < len(spans) and spans[s][0] < at:
