@@ -288,6 +288,22 @@ def test_truncation(spark):
     assert truncation.truncation_rates(got).where("source_file = 's' and field_name = 'outcome'").first().n_values == 600
 
 
+def test_threshold_lies_in_the_valley():
+    size = int((truncation.HIGH - truncation.LOW) / truncation.STEP)
+    bins = truncation.LOW + truncation.STEP * (np.arange(size) + 0.5)
+    heap = lambda at, n: n * np.exp(-((bins - at) ** 2))
+    for share in (0.01, 0.1, 0.4):
+        assert -6 < truncation.threshold(heap(-8, share * 1000) + heap(1, (1 - share) * 1000), heap(-8, 500)) < -1
+    assert truncation.threshold(np.zeros(size), heap(-8, 9)) == truncation.LOW == truncation.threshold(heap(1, 9), np.zeros(size))
+
+
+def test_tails_and_texts_count_alike():
+    """A tail's counters are those of the same characters within a text; digits are one sign."""
+    a = truncation.tail_buckets(["at day 12", "AT DAY 79", "12", ""], 1)
+    assert (a[:, 0] == a[:, 1]).all() and (a[:2, 2] == a[:2, 0]).all() and (a[2:, 2] == -1).all() and (a[:, 3] == -1).all()
+    assert (truncation.tail_buckets(["at day 12"], 2)[:, 0] != a[:, 0]).all()
+
+
 # 7 — repeated lines
 
 
@@ -432,6 +448,23 @@ def test_other_columns_change_nothing(spark):
 # 10 — offending content
 
 
+def test_threshold_of_ratings():
+    scores, truth = np.array([0.9, 0.8, 0.7, 0.2, 0.1] * 400), np.array([1, 1, 1, 0, 0] * 400, bool)
+    assert 0.3 < toxicity.best_threshold(scores, truth, np.ones(2000), 0.03) < 0.6
+    assert toxicity.best_threshold(scores, np.zeros(2000, bool), np.ones(2000), 0.03) == 0.5
+    fitted = toxicity.Fitted([], scores, truth, ["en", "de"] * 1000)
+    assert set(toxicity.thresholds(fitted, 0.03)) == {"", "en", "de"}
+
+
+def test_sentences_as_the_net_sees_them():
+    words = toxicity.sentences_of
+    assert words("You are an i.d.i.o.t! Go.") == words("You are an idiot! Go.") and words("IDIOOOOT") == words("idiot") == words("idi0t")
+    assert words("a\u200bb \uff41") == words("ab a") and words(None) == words("") == words("12 34") == []
+    assert words("再測定すべき drop dead") == [*words("再測定すべき"), *words("drop dead")]
+    long = words(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)))
+    assert all(len(s) <= toxicity.SPAN for s in long) and {w for s in long for w in s} == {w for i in range(100) for s in words(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}") for w in s}
+
+
 def test_classifier_held_out(spark):
     rnd = random.Random(7)
     bad = ["you are a stupid idiot", "go to hell you pig", "those people are vermin", "I will break your fingers, idiot"]
