@@ -44,11 +44,12 @@ def gate(ranked: DataFrame, least: float) -> DataFrame:
 def contexts(ranked: DataFrame) -> DataFrame:
     """One row per file: its passages as an array in rank order. Bounded by the limit of per_file.
 
-    Rows are few and short but dear to work on, so they are spread over as many tasks as a shuffle has.
+    Rows are few and short but dear to work on, so they are spread over as many tasks as a shuffle has: by a hash of
+    the file, as a repartition by the file itself would be dropped after the aggregate and its few bytes coalesced.
     """
     spread = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = F.struct("rank", "passage_id", "source_file", "source_path", "page_number", "score", "text")
-    return ranked.groupBy("source_file").agg(F.array_sort(F.collect_list(fields)).alias("passages")).repartition(spread, "source_file")
+    return ranked.groupBy("source_file").agg(F.array_sort(F.collect_list(fields)).alias("passages")).repartition(spread, F.xxhash64("source_file"))
 
 
 def joined_text(passages: Column, glue: str) -> Column:
