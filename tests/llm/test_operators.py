@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -483,3 +484,45 @@ def test_classifier_held_out(spark):
     assert toxicity.toxic_rates(got).where("source = 's'").first().n_docs == 401
     none = toxicity.score_documents(spark, docs, frame(spark, [], "doc_id long, rater string, toxic int"))
     assert none.where("flagged").count() == 0
+
+
+def test_all_documents_take_part(spark):
+    # 6,600 ratings, the offending ones the last by hash: a sample of the first 6,000 has none of them.
+    ids = [r.id for r in spark.range(6600).orderBy(F.xxhash64("id")).collect()]
+    bad, rnd = set(ids[-400:]) | set(range(7000, 7010)), random.Random(3)
+    docs = frame(spark, [(i, "s", "You are a stupid idiot." if i in bad else " ".join(rnd.choice(WORDS) for _ in range(5))) for i in [*ids, *range(7000, 7500)]], "doc_id long, source string, text string")
+    rated = frame(spark, [(i, "r", int(i in bad)) for i in ids], "doc_id long, rater string, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(spark, docs, rated).collect()}
+    assert len(got) == 7100 and {i for i, r in got.items() if r.flagged} == bad
+    again = {r.doc_id: r.score for r in toxicity.score_documents(spark, docs.repartition(3), rated).collect()}
+    assert all(abs(again[i] - r.score) < 0.001 for i, r in got.items())
+    # Parts of the documents, trained in tasks of their own.
+    nets = toxicity.fit(spark, toxicity.tokens_of(docs, rated), parts=3)
+    codes = [toxicity.body_of(t) for t in ("You are a stupid idiot.", "the patient cohort before mortality")]
+    assert (toxicity.logits_of(nets, codes)[:, 0] > 0).all() and (toxicity.logits_of(nets, codes)[:, 1] < 0).all()
+
+
+def test_changes_of_parts():
+    known = np.zeros(toxicity.BUCKETS, bool)
+    known[[5, 6, 5000]] = True
+    a, b, start = (toxicity.Learner.new(1, known) for _ in range(3))
+    for learner, words in ((a, [5, 6]), (b, [5, 5000])):
+        learner.learn([(["".join(map(chr, words))], 1.0, 1.0, True)], np.random.default_rng(0), False, True)
+    made = {}
+    for block, change in [*a.changes(start), *b.changes(start)]:
+        made.setdefault(block, []).append(change)
+    both = toxicity.Learner.new(1, known)
+    for block, own in made.items():
+        both.take(block, toxicity.mean_change(block, iter(own)))
+    assert np.allclose(both.net.out, (a.net.out + b.net.out) / 2, atol=1e-6) and np.allclose(both.net.emb[5], (a.net.emb[5] + b.net.emb[5]) / 2, atol=1e-6)
+    # A word that one part has is not held back by the other.
+    assert np.allclose(both.net.emb[6], a.net.emb[6], atol=1e-6) and np.allclose(both.net.emb[5000], b.net.emb[5000], atol=1e-6) and not both.net.emb[7].any()
+
+
+def test_thresholds_of_counts():
+    rnd = np.random.default_rng(2)
+    scores, truth, langs = rnd.random(300).round(1), rnd.random(300) < 0.4, rnd.choice(["en", "de"], 300).tolist()
+    counts = Counter(zip(scores, truth, langs))
+    s, t, names = zip(*counts)
+    one, other = toxicity.thresholds(toxicity.Fitted([], scores, truth, langs), 0.1), toxicity.thresholds(toxicity.Fitted([], np.array(s), np.array(t), list(names), np.array(list(counts.values()), float)), 0.1)
+    assert one.keys() == other.keys() and all(abs(one[x] - other[x]) < 1e-9 for x in one)
